@@ -1,0 +1 @@
+"""Multi-step plans composed of operators."""
