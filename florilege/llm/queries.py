@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import mixing, splitting, survivor, topn
 from . import vectors as V
 
 
@@ -22,5 +23,105 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "nbr").alias("rowid_lo"), F.greatest("id", "nbr").alias("rowid_hi")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
-ORACLE: dict[str, str] = {}
+def p1_typical(spark: SparkSession, d: str) -> DataFrame:
+    """Size and three most typical members of every cluster."""
+    live = _live(spark, d)
+    return V.typical_members(live, V.similarity_clusters(live))
+
+
+#: Texts that stand for "no full text".
+NO_TEXT = ["", "-", "n/a", "na", "tbd", "null", "none", "nil", "unknown", "pending", "not available", "full text not available", "no full text", "no summary", "todo"]
+#: Access methods that name where a full text came from.
+ACCESS = ["pmc", "europepmc", "unpaywall", "biorxiv"]
+
+
+def pmid_number(c: str) -> F.Column:
+    """Digits of a PubMed number in any notation, without leading zeros; NULL for placeholders."""
+    digits = F.regexp_extract(F.trim(c), r"([0-9]+)(?:\.0*)?[^0-9]*$", 1)
+    return F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit(""))
+
+
+def judged_papers(papers: DataFrame) -> DataFrame:
+    """papers with pmid_number and, for the four respects, a value and its quality in log-odds."""
+    plain = F.regexp_replace(F.regexp_replace("full_text_summary", r"(?s)<[^>]*>", " "), r"&(?:nbsp|#160|#xa0);|\u00a0", " ")
+    plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
+    bare = F.trim(F.regexp_replace(F.lower(plain), r"[.!?\s]+$", ""))
+    status = F.regexp_replace(F.regexp_replace(F.lower("status"), r"^\s+|\s+$", ""), r"[\s_-]+", "_")
+    access = F.regexp_replace(F.lower("access_method"), r"[\s_-]+", "")
+    micros = F.unix_micros(F.col("summarized_date").cast("timestamp"))
+    return papers.select(
+        pmid_number("pmid").alias("pmid_number"), "id", "source",
+        status.alias("v_status"), F.when(status == "summary_ready", 8.0).otherwise(0.0).alias("q_status"),
+        access.alias("v_access"), F.when(access.isin(ACCESS), 8.0).otherwise(0.0).alias("q_access"),
+        F.sha2(bare, 256).alias("v_text"), F.when(F.coalesce(bare, F.lit("")).isin(NO_TEXT), 0.0).otherwise(8.0).alias("q_text"),
+        micros.alias("v_date"), F.coalesce(micros.cast("double") / 86_400_000_000, F.lit(-1e6)).alias("q_date"),
+    ).where("pmid_number is not null and id is not null")
+
+
+JUDGED = {"status": ("v_status", "q_status"), "access": ("v_access", "q_access"), "text": ("v_text", "q_text"), "date": ("v_date", "q_date")}
+
+
+def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving row of every PubMed number held by two or more rows."""
+    return survivor.surviving_rows(judged_papers(table(spark, d, "papers")), "pmid_number", "id", JUDGED, "source")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Survivors that are at least as good as every other row of their group, and alone in that."""
+    return p3_survivors(spark, d).where("complete and strictly").select("pmid_number", "id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "digest_papers").select("batch", "sonnet_combined", "id").where(F.col("batch").rlike(r"\S"))
+    return topn.top_n_per_group(rows, ["batch"], "sonnet_combined", "id", 5).select("batch", "id")
+
+
+P6_SQL = r"""
+select batch, id from (
+  select batch, id, row_number() over (partition by batch order by sonnet_combined desc, id) as r
+  from digest_papers where regexp_matches(batch, '\S') and sonnet_combined is not null and not isnan(sonnet_combined)
+) where r <= 5
+"""
+
+
+def _mixture(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.mix(mixing.with_token_counts(docs), table(spark, d, "mix_targets"), total)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of the mix with its number of uses; all target shares are met."""
+    return _mixture(spark, d)[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source at the largest total that meets all targets."""
+    return _mixture(spark, d)[1]
+
+
+def p9_report_corpus_size(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached when the mix is to hold as many tokens as the targeted sources do: small sources run short."""
+    docs = mixing.with_token_counts(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
+    counted = mixing.stash(docs)
+    targets = table(spark, d, "mix_targets")
+    total = counted.join(targets, "source", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0
+    return mixing.mix(counted, targets, float(total))[1]
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_typical": p1_typical,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_survivors": p3_survivors,
+    "p6_found": p6_found,
+    "p9_mix": p9_mix,
+    "p9_report": p9_report,
+    "p9_report_corpus_size": p9_report_corpus_size,
+    "p10_pieces": p10_pieces,
+}
+ORACLE: dict[str, str] = {"p6_found": P6_SQL}
