@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, splitting, survivor, topn
+from . import linkage, mixing, splitting, survivor, topn
 from . import vectors as V
 
 
@@ -71,6 +71,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_survivors(spark, d).where("complete and strictly").select("pmid_number", "id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats within all rows: the older two thirds of the runs are accepted first, the rest is then linked to them."""
+    papers = table(spark, d, "digest_papers")
+    sizes = papers.groupBy("batch").agg(F.count("*").alias("n"))
+    w = Window.orderBy("batch")  # over one row a run, not over the papers
+    cut = sizes.withColumn("part", F.sum("n").over(w) / F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    cut = cut.where("part <= 0.67").agg(F.max("batch")).first()[0]
+    late = F.coalesce(F.col("batch") > F.lit(cut or ""), F.lit(False))
+    history = linkage.link_batch(linkage.read_records(papers.where(~late)), None)
+    return linkage.first_pairs(linkage.link_batch(linkage.read_records(papers.where(late)), history))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "digest_papers").select("batch", "sonnet_combined", "id").where(F.col("batch").rlike(r"\S"))
     return topn.top_n_per_group(rows, ["batch"], "sonnet_combined", "id", 5).select("batch", "id")
@@ -118,6 +130,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
