@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import linkage, mixing, splitting, survivor, topn
+from . import linkage, matching, mixing, splitting, survivor, topn
 from . import vectors as V
 
 
@@ -71,6 +71,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_survivors(spark, d).where("complete and strictly").select("pmid_number", "id")
 
 
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matched rows of papers and endnote_records with their confidence."""
+    none = F.lit(None).cast("string")
+    left = table(spark, d, "papers").select(F.col("id").alias("node"), "title", "authors", "journal", F.year("pub_date").alias("year"), "pmid", "doi")
+    right = table(spark, d, "endnote_records").select(F.col("rec_no").alias("node"), "title", "authors", F.col("secondary_title").alias("journal"), F.col("pub_year").alias("year"), none.alias("pmid"), none.alias("doi"))
+    return matching.match_tables(left, right).withColumnsRenamed({"left_id": "id", "right_id": "rec_no"})
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).select("id", "rec_no")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Repeats within all rows: the older two thirds of the runs are accepted first, the rest is then linked to them."""
     papers = table(spark, d, "digest_papers")
@@ -130,6 +142,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p9_mix": p9_mix,
