@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import linkage, matching, mixing, splitting, survivor, topn
+from . import leakage, linkage, matching, mixing, splitting, survivor, topn
 from . import vectors as V
 
 
@@ -108,6 +108,21 @@ select batch, id from (
 """
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items of every affected document, with the item words covered and those that agree."""
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Ids and sizes of the documents without a leak."""
+    docs = table(spark, d, "documents")
+    return leakage.without_leaks(docs.select("doc_id", "source", "n_chars"), p8_leaks(spark, d))
+
+
 def _mixture(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
     return mixing.mix(mixing.with_token_counts(docs), table(spark, d, "mix_targets"), total)
@@ -146,6 +161,9 @@ QUERIES = {
     "p4_matches": p4_matches,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p8_clean": p8_clean,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
     "p9_report_corpus_size": p9_report_corpus_size,
