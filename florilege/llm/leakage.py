@@ -7,6 +7,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -18,40 +20,56 @@ LOOKALIKES = str.maketrans(
     "абвеіјкмнорԛѕтуԝхһсԁӏАВЕІЈКМНОРЅТУХСԌԚԜαβεικνορτυχγΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɡɑⅼ",
     "abbeijkmhopqstywxhcdlABEIJKMHOPSTYXCGQWabeikvoptuxyABEZHIKMNOPTYXigal",
 )
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_SUPER = re.compile("[⁰¹²³⁴-⁹₀-₉†‡§¶]+")
+#: Marks that point to notes, set high or low.
+MARKS = set("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻₀₁₂₃₄₅₆₇₈₉†‡§¶")
 _INLINE = re.compile(r"</?(?:em|i|b|strong|sub|sup|u|span|a|mark|small|s|code|font)\b[^<>]{0,200}>", re.I)
 _BLOCK = re.compile(r"<[^<>]{1,200}>")
 _SPLIT = re.compile(r"(?<=\w)[-‐‑¬][ \t]*[\r\n]+[>\s|*]*(?=\w)")
+_HYPHENS = frozenset("‐‑¬")
 _MARK = re.compile(r"\[\^?\d+(?:\s?[,;–-]\s?\d+)*\]|\(\d{1,3}(?:\s?[,;–-]\s?\d{1,3})*\)|\^\d+\^?")
+_HIGH = re.compile(r"[^\x00-\x7f]")
 _ASCII, _ANY = re.compile(r"[a-z0-9]+"), re.compile(r"[^\W_]+")
 
 
-def plain_words(text: str) -> list[str]:
+@lru_cache(maxsize=100_000)
+def _latin(c: str) -> str:
+    """What a character outside ASCII is read as: look-alikes and accented letters as the plain letter."""
+    if c in MARKS:
+        return " "
+    if ord(c) in LOOKALIKES:
+        return chr(LOOKALIKES[ord(c)])
+    if unicodedata.category(c) in ("Cf", "Mn"):
+        return ""
+    d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    return d if d.isascii() else c
+
+
+def plain_words(text: str, word: re.Pattern = _ASCII) -> list[str]:
     """Lower-case words without markup, reference marks, line-end hyphens, quotes and look-alike letters."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _BLOCK.sub(" ", _INLINE.sub("", text))
-    ascii_ = text.isascii()
-    if not ascii_:
-        text = _SUPER.sub(" ", _INVISIBLE.sub("", text))
-        text = unicodedata.normalize("NFKC", text).translate(LOOKALIKES)
-    if "-" in text or not ascii_:
+    high = () if text.isascii() else set(_HIGH.findall(text))
+    if "-\n" in text or "-\r" in text or "- \n" in text or not _HYPHENS.isdisjoint(high):
         text = _SPLIT.sub("", text)
+    for c in high:
+        if (x := _latin(c)) != c:
+            text = text.replace(c, x)
     if "[" in text or "(" in text or "^" in text:
         text = _MARK.sub(" ", text)
     if "**" in text or "__" in text or "`" in text:
         text = text.replace("**", "").replace("__", "").replace("`", "")
-    text = text.lower()
-    return (_ASCII if ascii_ else _ANY).findall(text)
+    return word.findall(text.lower())
 
 
 class Passages:
     """Normalised words of the test items and their n-grams, ready for look-up."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = 3, common: float = 0.05, shared: int = 6, rare: float = 0.02):
-        words = {i: plain_words(t or "") for i, t in items}
+        #: Texts are cut into words of ASCII letters unless an item holds others.
+        self.word = _ASCII if all(w.isascii() for _, t in items for w in plain_words(t or "", _ANY)) else _ANY
+        words = {i: plain_words(t or "", self.word) for i, t in items}
         seen = Counter(g for w in words.values() for g in {tuple(w[k : k + shared]) for k in range(len(w) - shared + 1)})
         often = {g for g, c in seen.items() if c >= max(3, common * len(words))}
         self.words: dict[int, list[str]] = {}
@@ -62,6 +80,10 @@ class Passages:
         held = Counter(x for w in self.words.values() for x in set(w))
         #: Words that tell an item from others made after the same pattern.
         self.rare = {i: {x for x in w if held[x] <= max(2, rare * len(words))} for i, w in self.words.items()}
+        self.owners: dict[str, list[tuple[int, int]]] = {}
+        for i, w in self.words.items():
+            for x in self.rare[i]:
+                self.owners.setdefault(x, []).append((i, w.count(x)))
         self.ids = {w: k for k, w in enumerate(sorted({w for ws in self.words.values() for w in ws}))}
         self.base = len(self.ids) + 1
         found: dict[int, list[tuple[int, int]]] = {}
@@ -109,10 +131,10 @@ def leaks_in(text: str | None, p: Passages, least: int) -> list[tuple[int, int,
     """(item, words of the item covered, words that agree) for every item with a run of at least ``least`` words."""
     if not text:
         return []
-    doc = plain_words(text)
+    doc = plain_words(text, p.word)
     if len(doc) < p.n:
         return []
-    v = np.fromiter((p.ids.get(w, -1) for w in doc), "i8", len(doc))
+    v = np.array(list(map(p.ids.get, doc, repeat(-1))), "i8")
     m = len(v) - p.n + 1
     key, ok = np.zeros(m, "i8"), np.ones(m, bool)
     for j in range(p.n):
@@ -127,11 +149,15 @@ def leaks_in(text: str | None, p: Passages, least: int) -> list[tuple[int, int,
     at, pos = at[hit], pos[hit]
     if len(at) < 3:  # twelve words with single wrong ones between hold more n-grams than that
         return []
+    telling: Counter = Counter()  # places of an item's own words that the document has
+    for w in p.owners.keys() & set(doc):
+        for item, n in p.owners[w]:
+            telling[item] += n
     best: dict[int, tuple[int, int]] = {}
     done: dict[tuple[int, int], int] = {}
     for d, g in zip(at.tolist(), pos.tolist()):
         for item, i in p.places[g]:
-            if done.get((item, d - i), -1) >= d:
+            if telling[item] < 2 or done.get((item, d - i), -1) >= d:
                 continue
             words, rare = p.words[item], p.rare[item]
             a, b, agree = _run(doc, words, d, i, p.n)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, linkage, matching, mixing, splitting, survivor, topn
+from . import leakage, linkage, matching, mixing, splitting, survivor, topn, variants
 from . import vectors as V
 
 
@@ -108,6 +108,13 @@ select batch, id from (
 """
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    grants = table(spark, d, "digest_grants")
+    people = table(spark, d, "digest_papers").select(F.explode("authors").alias("name")).unionByName(grants.select(F.col("pi").alias("name")))
+    names = people.select(F.lit("person").alias("kind"), "name").unionByName(grants.select(F.lit("org").alias("kind"), F.col("organization").alias("name")))
+    return variants.name_variants(names)
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items of every affected document, with the item words covered and those that agree."""
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -161,6 +168,7 @@ QUERIES = {
     "p4_matches": p4_matches,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p8_clean": p8_clean,
