@@ -28,10 +28,10 @@ def search(
 
     ``queries``: query, text. Every term must begin a word of some column. Term
     frequencies count per column and are weighted; length is the whole
-    document's. The query's terms are expanded to the words they begin, a small
-    table that is broadcast by size if the planner finds it small; postings that
-    no query asks for are dropped before anything is grouped by document, and
-    only document lengths are computed for all. score = bm25 / (1 + bm25).
+    document's. The queries' terms are expanded, over the corpus' vocabulary, to
+    the words they begin; words that no query means are dropped before anything
+    is grouped by document, and only document lengths are computed for all.
+    Prefixes above 24 characters find nothing. score = bm25 / (1 + bm25).
     Ties go to the smaller ident. Queries without a term find nothing.
     """
     wanted = queries.select("query", F.explode(F.array_distinct(tokens("text"))).alias("prefix"))
@@ -39,13 +39,11 @@ def search(
     total = F.size(tokens(F.concat_ws(" ", *weights)))
     size = docs.where(F.col(ident).isNotNull()).select(ident, total.alias("len"))
     stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(24))), lambda i: F.substring(F.col("term"), F.lit(1), i)))
-    p = postings(docs, ident, list(weights))
-    hit = p.withColumn("prefix", F.explode(heads)).join(wanted, "prefix")
-    w = F.lit(0.0)
-    for c, x in weights.items():
-        w = F.when(F.col("column") == c, x).otherwise(w)
-    per = hit.groupBy("query", "prefix", ident).agg(F.sum(F.col("tf") * w).alias("tf"))
+    cols = F.array(*(F.struct(F.lit(x).alias("w"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("ts")) for c, x in weights.items()))
+    words = docs.where(F.col(ident).isNotNull()).select(ident, F.inline(cols)).select(ident, "w", F.explode("ts").alias("term"))
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(24))), lambda i: F.substring(F.col("term"), F.lit(1), i))
+    meant = words.select("term").distinct().withColumn("prefix", F.explode(heads)).join(wanted, "prefix")
+    per = words.join(meant, "term").groupBy("query", "prefix", ident).agg(F.sum("w").alias("tf"))
     df = per.groupBy("query", "prefix").agg(F.count("*").alias("df"))
     scored = per.join(df, ["query", "prefix"]).join(size, ident).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
