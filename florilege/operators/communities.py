@@ -8,40 +8,57 @@ from pyspark.sql import functions as F
 from ..session import stash, unstash
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, seed: int = 42) -> DataFrame:
-    """(node, community) maximising modularity with a resolution, by local moving in rounds.
-
-    ``edges``: a, b, weight (undirected, one row a pair). Each round every node
-    weighs its neighbours' communities with two aggregations and moves to the
-    one with the largest gain; a random half of the nodes, by a hash of node and
-    round, may move, so that neighbours don't swap forever. Ties and gains of
-    zero keep the node. A node joins a community, it never brings in another
-    one's state, so all work is joins on node and community. A community is
-    named by its smallest node at the end. Nodes without an edge don't appear.
-    """
+def _moved(edges: DataFrame, degree: DataFrame, total: float, resolution: float, rounds: int, seed: int) -> DataFrame:
+    """(node, c): nodes after rounds of local moving. ``degree``: node, k."""
     both = stash(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    degree = stash(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
     state = stash(degree.select("node", "k", F.col("node").alias("c")))
     for r in range(rounds):
         size = state.groupBy("c").agg(F.sum("k").alias("size"))
         pull = both.join(state.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("weight").alias("w"))
-        own = state.select("node", "k", "c").withColumn("w0", F.lit(0.0))
-        cand = pull.join(own, "node").join(size.select(F.col("c").alias("to"), "size"), "to")
-        rest = F.col("size") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
+        pull = pull.unionByName(state.select("node", F.col("c").alias("to"), F.lit(0.0).alias("w"))).groupBy("node", "to").agg(F.sum("w").alias("w"))
+        cand = pull.join(state, "node").join(size.select(F.col("c").alias("to"), "size"), "to")
+        here = F.col("to") == F.col("c")
+        rest = F.col("size") - F.when(here, F.col("k")).otherwise(0.0)
         cand = cand.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / total, 9))
-        stay = F.max(F.when(F.col("to") == F.col("c"), F.col("gain")))
-        alone = F.first("k") * 0
-        best = cand.groupBy("node").agg(F.max_by("to", F.struct(F.col("gain"), (F.col("to") == F.col("c")).alias("s"), F.xxhash64("to").alias("h"))).alias("to"), F.max("gain").alias("gain"), F.coalesce(stay, alone).alias("stay"))
+        best = cand.groupBy("node").agg(
+            F.max_by("to", F.struct(F.col("gain"), here.alias("s"), F.xxhash64("to").alias("h"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(here, F.col("gain"))).alias("stay")
+        )
         turn = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(r)), F.lit(2)) == 0
-        nxt = stash(state.join(best, "node").select("node", "k", F.when(turn & (F.col("gain") > F.col("stay")), F.col("to")).otherwise(F.col("c")).alias("c")))
-        moved = nxt.join(state.select("node", F.col("c").alias("old")), "node").where("c <> old").limit(1).count()
+        nxt = stash(state.join(best, "node").select("node", "k", F.when(turn & (F.col("gain") > F.col("stay")), F.col("to")).otherwise(F.col("c")).alias("c"), (F.col("gain") > F.col("stay")).alias("open")))
         unstash(state)
-        state = nxt
-        if not moved and r:
+        state = nxt.drop("open")
+        if not nxt.where("open").limit(1).count():
+            break
+    return state.select("node", "c")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 3, seed: int = 42) -> DataFrame:
+    """(node, community) maximising modularity with a resolution, by local moving and merging.
+
+    ``edges``: a, b, weight (undirected, one row a pair). Each round every node
+    weighs its neighbours' communities with two aggregations and moves to the
+    one with the largest gain; a random half of the nodes, by a hash of node and
+    round, may move, so that neighbours don't swap forever. Ties and gains of
+    zero keep the node. Communities then become the nodes of a smaller graph and
+    move in their turn, up to ``levels`` times. All work is joins on node and
+    community; nothing is gathered. A community is named by its smallest node.
+    Nodes without an edge don't appear.
+    """
+    edges = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
+    degree = stash(edges.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("k")))
+    total = degree.agg(F.sum("k")).first()[0] or 1.0
+    parts = None
+    for level in range(levels):
+        step = stash(_moved(edges, degree, total, resolution, rounds, seed + level))
+        parts = step if parts is None else stash(parts.join(step.select(F.col("node").alias("c"), F.col("c").alias("to")), "c").select("node", F.col("to").alias("c")))
+        if not step.where("node <> c").limit(1).count():
             break
-    name = state.groupBy("c").agg(F.min("node").alias("community"))
-    return state.join(name, "c").select("node", "community")
+        of = step.select("node", "c")
+        e = edges.join(of.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+        edges = stash(e.where("ca <> cb").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
+        degree = stash(degree.join(of, "node").groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
+    name = parts.groupBy("c").agg(F.min("node").alias("community"))
+    return parts.join(name, "c").select("node", "community")
 
 
 def modularity(edges: DataFrame, parts: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -129,7 +129,7 @@ def article_text(xml: Column | str, least: int = 500) -> Column:
     body = F.regexp_replace(F.regexp_replace(body, r"</p>", "\n\n"), r"<[^>]+>", "")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         body = F.replace(body, F.lit(a), F.lit(b))
-    body = F.trim(F.regexp_replace(body, r"\n{3,}", "\n\n"))
+    body = F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     return F.when(F.length(body) > least, body)
 
 
