@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Terms of all queries together up to which they are looked for by one pattern.
+MOST_ASKED = 1000
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(F.col(c) if isinstance(c, str) else c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -28,9 +32,10 @@ def search(
 
     ``queries``: query, text. Every term must begin a word of some column. Term
     frequencies count per column and are weighted; length is the whole
-    document's. The queries' terms are expanded, over the corpus' vocabulary, to
-    the words they begin; words that no query means are dropped before anything
-    is grouped by document, and only document lengths are computed for all.
+    document's. Words that no query means are dropped while documents are read,
+    by one pattern of all terms, or, for more than MOST_ASKED terms, by a join
+    with the part of the vocabulary that they begin; only document lengths are
+    computed for all.
     Prefixes above 24 characters find nothing. score = bm25 / (1 + bm25).
     Ties go to the smaller ident. Queries without a term find nothing.
     """
@@ -39,11 +44,18 @@ def search(
     total = F.size(tokens(F.concat_ws(" ", *weights)))
     size = docs.where(F.col(ident).isNotNull()).select(ident, total.alias("len"))
     stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    cols = F.array(*(F.struct(F.lit(x).alias("w"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("ts")) for c, x in weights.items()))
+    asked = [r["prefix"] for r in wanted.select("prefix").distinct().limit(MOST_ASKED + 1).collect()]
+    few = len(asked) <= MOST_ASKED
+    begins = "^(?:" + "|".join(asked) + ")" if asked else "^$"
+    keep = (lambda c: F.filter(tokens(c), lambda t: t.rlike(begins))) if few else tokens
+    cols = F.array(*(F.struct(F.lit(x).alias("w"), keep(F.coalesce(F.col(c), F.lit(""))).alias("ts")) for c, x in weights.items()))
     words = docs.where(F.col(ident).isNotNull()).select(ident, F.inline(cols)).select(ident, "w", F.explode("ts").alias("term"))
     heads = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(24))), lambda i: F.substring(F.col("term"), F.lit(1), i))
-    meant = words.select("term").distinct().withColumn("prefix", F.explode(heads)).join(wanted, "prefix")
-    per = words.join(meant, "term").groupBy("query", "prefix", ident).agg(F.sum("w").alias("tf"))
+    if few:
+        hits = words.withColumn("prefix", F.explode(heads)).join(wanted, "prefix")
+    else:
+        hits = words.join(words.select("term").distinct().withColumn("prefix", F.explode(heads)).join(wanted, "prefix"), "term")
+    per = hits.groupBy("query", "prefix", ident).agg(F.sum("w").alias("tf"))
     df = per.groupBy("query", "prefix").agg(F.count("*").alias("df"))
     scored = per.join(df, ["query", "prefix"]).join(size, ident).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

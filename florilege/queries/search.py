@@ -67,13 +67,14 @@ def document_snippets(spark: SparkSession, d: str) -> DataFrame:
 def title_in_body(spark: SparkSession, d: str) -> DataFrame:
     """Saved titles of three and more words that stand in a document, letter by letter but for case.
 
-    A title's longest inner word must be a word of the document, so titles and
-    documents meet on that word and only such pairs are compared.
+    A title's most telling inner word (with letters and digits, then the longest)
+    must be a word of the document, so titles and documents meet on that word
+    and only such pairs are compared.
     """
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.lower("text").alias("body"))
     t = table(spark, d, "papers").select("id", F.lower("title").alias("title"), T.tokens("title").alias("ws")).where(F.size("ws") >= 3)
     inner = F.slice("ws", 2, F.size("ws") - 2)
-    t = t.withColumn("w", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]).drop("ws")
+    t = t.withColumn("w", F.array_max(F.transform(inner, lambda x: F.struct((x.rlike("[a-z]") & x.rlike("[0-9]")).alias("c"), F.length(x).alias("n"), x.alias("x"))))["x"]).drop("ws")
     hit = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("body"))).alias("w")).join(t, "w").select("doc_id", "id", "title")
     return hit.join(docs, "doc_id").where(F.col("body").contains(F.col("title"))).select("id", "doc_id")
 
