@@ -122,6 +122,14 @@ def bridge_authors(spark: SparkSession, d: str) -> DataFrame:
     return C.bridges(*_journal_graph(spark, d))
 
 
+def bridge_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """Authors on most shortest paths of the co-author graph, from one author in twenty as sources; the 30 first."""
+    e = stash(_coauthors(spark, d))
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    b = C.betweenness(e, nodes.where(F.pmod(F.xxhash64("node"), F.lit(20)) == 0))
+    return b.orderBy(F.desc("betweenness"), "node").limit(30)
+
+
 def label_cache_reuse(spark: SparkSession, d: str) -> DataFrame:
     """Journals' member sets of 2024 against those of 2023: same set, near (Jaccard 0.05 and more) or to be labelled anew.
 
@@ -141,7 +149,7 @@ def label_cache_reuse(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     mean_vectors, profile_similarity, knn_topk, neighbor_sidecar, knn_graph_edges, centroid_bars, soft_membership, membership_histogram, vector_multi_query, coauthor_edges, coauthor_components, coauthor_communities,
-    community_sweep, related_communities, community_top_degree, bridge_authors, label_cache_reuse)}
+    community_sweep, related_communities, community_top_degree, bridge_authors, bridge_betweenness, label_cache_reuse)}
 
 NEAR = """x as (select vec_id, list_transform(embedding, lambda v: v::double) as v from embeddings), u as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from x),
   s as (select a.vec_id as query, b.vec_id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) as sim from u a, u b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),

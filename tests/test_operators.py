@@ -150,3 +150,57 @@ def test_communities_of_two_cliques(spark):
     lone = spark.createDataFrame([(i, 0) for i in range(6)] + [(i, 10) for i in range(10, 16)] + [(20, 20)], "node long, community long")
     assert dict(rows(C.merge_tiny(df, lone)))[20] == 0
     assert C.bridges(df, lone).first()["node"] in (0, 5, 10)
+
+
+def test_betweenness_of_known_graphs(spark):
+    def of(e, sources=None):
+        df = spark.createDataFrame([(a, b, 1.0) for a, b in e], "a long, b long, weight double")
+        nodes = sorted({x for p in e for x in p}) if sources is None else sources
+        return dict(rows(C.betweenness(df, spark.createDataFrame([(n,) for n in nodes], "node long"))))
+
+    path = of([(0, 1), (1, 2), (2, 3), (3, 4)])
+    assert path == {0: 0.0, 1: 0.75, 2: 1.0, 3: 0.75, 4: 0.0}
+    star = of([(0, i) for i in range(1, 6)])
+    assert star[0] == 1.0 and set(star.values()) == {0.0, 1.0}
+    square = of([(0, 1), (1, 2), (2, 3), (3, 0)])
+    assert set(square.values()) == {1.0}
+    assert of([(0, 1)], sources=[]) == {}
+
+
+def test_suggestions_against_all_pairs(spark):
+    import random
+
+    from florilege.operators import matching as M
+
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcdef") for _ in range(rng.randint(6, 14))) for _ in range(60)]
+
+    def typed(s):
+        s = list(s)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(s))
+            s[i : i + 1] = rng.choice([[], [rng.choice("abcdef")], [s[i], "a"]])
+            s = s or ["a"]
+        return "".join(s)
+
+    asked = sorted({typed(b) for b in base})
+    a, k = spark.createDataFrame([(x,) for x in asked] + [(None,)], "n string"), spark.createDataFrame([(x,) for x in base], "n string")
+    got = {(r["asked"], r["n"], r["distance"]) for r in M.suggestions(a, k, "n", 3, 1000).collect()}
+    a.createOrReplaceTempView("a")
+    k.createOrReplaceTempView("k")
+    want = {tuple(r) for r in spark.sql("select distinct a.n, k.n, levenshtein(a.n, k.n) from a, k where levenshtein(a.n, k.n) <= 3 and length(a.n) >= 4").collect()}
+    assert got == want
+
+
+def test_cascade_and_fill(spark):
+    from florilege.operators import matching as M
+
+    a = spark.createDataFrame([(1, "p", None), (2, None, "x"), (3, None, None), (4, "q", "x")], "i long, p string, t string")
+    b = spark.createDataFrame([(9, "p", "x"), (8, None, "x")], "j long, p string, t string")
+    got = rows(M.cascade(a, b, "i", "j", [("number", F.col("p"), F.col("p")), ("title", F.col("t"), F.col("t"))]))
+    assert got == [(1, 9, "number"), (2, 8, "title"), (4, 8, "title")]
+    df = spark.createDataFrame([(1, " ", "k"), (2, None, "z"), (3, "c", None)], "k long, a string, b string")
+    new = spark.createDataFrame([(1, "n", "m"), (3, "x", "y")], "k long, a string, b string")
+    assert rows(M.fill_fields(df, new, "k", ["a", "b"]).na.fill("-")) == [(1, "n", "k", "a"), (2, "-", "z", ""), (3, "c", "y", "b")]
+    twins = M.numbered_twins(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i long, n string"), "n", "i")
+    assert rows(twins, "unique_name") == [("a",), ("a-2",), ("b",)]
