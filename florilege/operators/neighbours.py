@@ -60,7 +60,7 @@ def nearest(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: int,
                 a, b = np.nonzero(v > -2)
                 yield pd.DataFrame({"query": qi[a], ident: di[o[a, b]], "sim": v[a, b]})
 
-    pairs = blocks(queries, "q").repartition(8).crossJoin(blocks(df, "d"))  # blocks, not rows: a stated query set against all
+    pairs = blocks(queries, "q").repartition(df.sparkSession.sparkContext.defaultParallelism).crossJoin(blocks(df, "d"))  # blocks, not rows: a stated query set against all
     near = pairs.mapInPandas(best, f"query long, {ident} long, sim double")
     w = Window.partitionBy("query").orderBy(F.desc("sim"), ident)
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

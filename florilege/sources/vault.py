@@ -12,7 +12,7 @@ HEADER = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:
     """(file, text): the notes under ``path`` whose name does not start with '_'."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "[!_]*.md").text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="[!_]*.md")
     return raw.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
