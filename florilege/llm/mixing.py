@@ -13,8 +13,8 @@ from . import tokens as K
 
 
 def with_token_counts(df: DataFrame, text: str = "text", name: str = "n_tokens", folder: str = K.TOKENIZERS, vocabulary: str = K.VOCABULARY) -> DataFrame:
-    """Adds the number of tokens of ``text`` and drops the text; NULL and empty texts have 0."""
-    rest = [c for c in df.columns if c != text]
+    """Adds the number of tokens of ``text`` and drops the text (and an older column of that name); NULL and empty texts have 0."""
+    rest = [c for c in df.columns if c not in (text, name)]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -22,7 +22,7 @@ def with_token_counts(df: DataFrame, text: str = "text", name: str = "n_tokens",
             out[name] = [K.count(t, folder, vocabulary) for t in pdf[text]]
             yield out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in rest)
     return df.mapInPandas(run, f"{schema}, `{name}` long")
 
 
