@@ -70,20 +70,18 @@ class Passages:
         #: Texts are cut into words of ASCII letters unless an item holds others.
         self.word = _ASCII if all(w.isascii() for _, t in items for w in plain_words(t or "", _ANY)) else _ANY
         words = {i: plain_words(t or "", self.word) for i, t in items}
-        seen = Counter(g for w in words.values() for g in {tuple(w[k : k + shared]) for k in range(len(w) - shared + 1)})
-        often = {g for g, c in seen.items() if c >= max(3, common * len(words))}
+        texts = set(map(tuple, words.values()))  # an item that is repeated counts once
+        seen = Counter(g for w in texts for g in {w[k : k + shared] for k in range(len(w) - shared + 1)})
+        often = {g for g, c in seen.items() if c >= max(3, common * len(texts))}
         self.words: dict[int, list[str]] = {}
         for i, w in words.items():
             drop = {k + j for k in range(len(w) - shared + 1) if tuple(w[k : k + shared]) in often for j in range(shared)}
             self.words[i] = [x for k, x in enumerate(w) if k not in drop]
         self.n = n
-        held = Counter(x for w in self.words.values() for x in set(w))
+        texts = set(map(tuple, self.words.values()))
+        held = Counter(x for w in texts for x in set(w))
         #: Words that tell an item from others made after the same pattern.
-        self.rare = {i: {x for x in w if held[x] <= max(2, rare * len(words))} for i, w in self.words.items()}
-        self.owners: dict[str, list[tuple[int, int]]] = {}
-        for i, w in self.words.items():
-            for x in self.rare[i]:
-                self.owners.setdefault(x, []).append((i, w.count(x)))
+        self.rare = {i: {x for x in w if held[x] <= max(2, rare * len(texts))} for i, w in self.words.items()}
         self.ids = {w: k for k, w in enumerate(sorted({w for ws in self.words.values() for w in ws}))}
         self.base = len(self.ids) + 1
         found: dict[int, list[tuple[int, int]]] = {}
@@ -95,19 +93,19 @@ class Passages:
         self.places = [found[g] for g in self.grams.tolist()]
 
 
-def _run(doc: list[str], item: list[str], d: int, i: int, n: int) -> tuple[int, int, list[int]]:
-    """(first item word, end, item words that agree) of the longest run through an n-gram found at (d, i).
+def _run(doc: list[str], item: list[str], d: int, i: int, n: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """(first item word, end, places (document, item) that agree) of the longest run through an n-gram found at (d, i).
 
     Single wrong, missing or additional words are passed over if the word behind
     them agrees, and the next one too where words are missing or additional.
     """
 
-    def walk(d: int, i: int, step: int) -> tuple[int, list[int]]:
+    def walk(d: int, i: int, step: int) -> tuple[int, list[tuple[int, int]]]:
         last, hits = i - step, []
         while 0 <= i < len(item) and 0 <= d < len(doc):
             if doc[d] == item[i]:
                 last = i
-                hits.append(i)
+                hits.append((d, i))
                 d, i = d + step, i + step
                 continue
             for dd, ii in ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2)):
@@ -124,7 +122,7 @@ def _run(doc: list[str], item: list[str], d: int, i: int, n: int) -> tuple[int,
 
     left, x = walk(d - 1, i - 1, -1)
     right, y = walk(d + n, i + n, 1)
-    return left, right + 1, [*x, *range(i, i + n), *y]
+    return left, right + 1, [*reversed(x), *((d + k, i + k) for k in range(n)), *y]
 
 
 def leaks_in(text: str | None, p: Passages, least: int) -> list[tuple[int, int, int]]:
@@ -147,31 +145,59 @@ def leaks_in(text: str | None, p: Passages, least: int) -> list[tuple[int, int,
     pos[pos == len(p.grams)] = 0
     hit = p.grams[pos] == key[at]
     at, pos = at[hit], pos[hit]
-    if len(at) < 3:  # twelve words with single wrong ones between hold more n-grams than that
-        return []
-    telling: Counter = Counter()  # places of an item's own words that the document has
-    for w in p.owners.keys() & set(doc):
-        for item, n in p.owners[w]:
-            telling[item] += n
-    best: dict[int, tuple[int, int]] = {}
+    runs: list[tuple[int, int, int, int, list[tuple[int, int]]]] = []  # item, words covered, telling words right and wrong, places that agree
     done: dict[tuple[int, int], int] = {}
     for d, g in zip(at.tolist(), pos.tolist()):
         for item, i in p.places[g]:
-            if telling[item] < 2 or done.get((item, d - i), -1) >= d:
+            if done.get((item, d - i), -1) >= d:
                 continue
             words, rare = p.words[item], p.rare[item]
             a, b, agree = _run(doc, words, d, i, p.n)
-            done[item, d - i] = d + (b - i) - 1
-            if b - a < least:
-                continue
-            own = sum(words[k] in rare for k in agree)
-            if own < 2 or own < 2 * (sum(w in rare for w in words[a:b]) - own):
+            for x, y in agree:
+                done[item, x - y] = x
+            own = sum(words[k] in rare for _, k in agree)
+            runs.append((item, b - a, own, sum(w in rare for w in words[a:b]) - own, agree))
+    best: dict[int, tuple[int, int]] = {}
+    holders: dict[int, list[int]] = {}
+    for item, covered, own, wrong, agree in runs:
+        if covered < least or (covered, len(agree)) <= best.get(item, (0, 0)):
+            continue
+        if (own < 2 or own < 2 * wrong) and not _verbatim(agree, least):
+            if not holders:  # runs by the document words they agree with
+                for r, run in enumerate(runs):
+                    for x, _ in run[4]:
+                        holders.setdefault(x, []).append(r)
+            if _contested(item, agree, own < 2 * wrong, runs, holders):
                 continue  # another text of the same pattern
-            if (b - a, len(agree)) > best.get(item, (0, 0)):
-                best[item] = (b - a, len(agree))
+        best[item] = (covered, len(agree))
     return [(item, *x) for item, x in best.items()]
 
 
+def _verbatim(agree: list[tuple[int, int]], least: int) -> bool:
+    """Do ``least`` words in a row agree without any wrong one?"""
+    n = 1
+    for (d, i), (d2, i2) in zip(agree, agree[1:]):
+        if n >= least:
+            break
+        n = n + 1 if (d2, i2) == (d + 1, i + 1) else 1
+    return n >= least
+
+
+def _contested(item: int, agree: list[tuple[int, int]], off: bool, runs: list, holders: dict[int, list[int]]) -> bool:
+    """Does another item agree with as many words of the same stretch of the document?
+
+    One that agrees with just the same words says nothing against the item,
+    unless (``off``) the wrong ones are those that tell items apart.
+    """
+    own = {x for x, _ in agree}
+    for r in {r for x in own for r in holders[x]}:
+        if runs[r][0] != item:
+            theirs = {x for x, _ in runs[r][4] if agree[0][0] <= x <= agree[-1][0]}
+            if len(theirs) >= len(own) and (off or theirs != own):
+                return True
+    return False
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", least: int = 12, max_grams: int = 2_000_000) -> DataFrame:
     """(ident, item, covered, agreeing): documents that hold a passage of a test item.
 
@@ -180,6 +206,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     hit is verified by walking along document and item in both directions over
     isolated wrong, missing and additional words. Word runs that many items
     share (the common instruction) are taken out of the items first.
+    A run counts if ``least`` words agree without a wrong one, or if words few
+    items have agree at least twice and twice as often as they disagree, or if no
+    other item agrees with as much of the same stretch.
 
     The broadcast is bounded: items are taken in slices of at most ``max_grams``
     n-grams, each scanned on its own. Whole texts are read; NULL and empty ones

@@ -190,6 +190,25 @@ def test_altered_passages(spark):
     assert got == {(i, 1) for i in (0, 1, 2, 3, 4, 7, 8, 11)}  # 8: only single words differ
 
 
+def test_ordinary_words_leak_too():
+    heads, tails = ("the board of", "two nurses from", "some cooks near"), ("while page nine steps in heavy snow as minutes confirm", "until the counter read zero over that long weekend again")
+    texts = [f"{h} town{i}{k} burned every sample of drug{i}{k} {t}" for i, h in enumerate(heads * 4) for k, t in enumerate(tails)]
+    p = E.Passages([*enumerate(texts), (100, texts[0]), (101, texts[0])], shared=30)
+    found = lambda text: {x[0] for x in E.leaks_in(text, p, 12)}
+    assert found("x burned every sample of drug00 while page nine steps in heavy snow as y") == {0, 100, 101}  # one telling word
+    assert found("x burned every sample of drug00 while page seven steps in heavy snow as y") == {0, 100, 101}  # and a wrong one
+    assert found("x burned every sample of other while page nine steps in heavy snow as y") == set()  # of many items, or of none
+    assert found("the board of town00 burned every sample of drug00") == set()  # nine words
+
+
+def test_twelve_ordinary_words_of_two_items():
+    text = "we asked for a little more time and the board of it was glad to wait"
+    p = E.Passages([(i, f"alpha{i} beta{i} {text} gamma{i} delta{i}") for i in range(4)] + [(i, f"other{i} words{i} here{i}") for i in range(4, 100)], shared=30)
+    assert not p.rare[0] & set(text.split())
+    assert {x[0] for x in E.leaks_in("x " + text + " y", p, 12)} == {0, 1, 2, 3}
+    assert {x[0] for x in E.leaks_in("x " + text.replace("time", "rope") + " y", p, 12)} == {0, 1, 2, 3}
+
+
 def test_leaks_without_items(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
