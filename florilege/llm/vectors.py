@@ -466,9 +466,109 @@ def similarity_links(vectors: DataFrame, centres: np.ndarray, least: float = 0.8
     return met.unionByName(vectors.mapInPandas(core_links, "src long, dst long")).where("src <> dst")
 
 
+def _stars(link: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pd.DataFrame:
+    """(src, dst): star links with the components of a link matrix between two lots of ids, or of one with itself."""
+    if b is not None:
+        r, c = link.any(axis=1), link.any(axis=0)
+        a, n = np.concatenate([a[r], b[c]]), int(r.sum())
+        both = np.zeros((len(a), len(a)), bool)
+        both[:n, n:] = link[np.ix_(r, c)]
+        both[n:, :n] = both[:n, n:].T
+    else:
+        some = np.flatnonzero(link.sum(axis=1) > 1)
+        a, both = a[some], link[np.ix_(some, some)]
+    g = _groups(both)
+    return pd.DataFrame({"src": a, "dst": a[g]})[a != a[g]]
+
+
+def links_between_cells(vectors: DataFrame, centres: np.ndarray, least: float = 0.8, dims: int = 64, block: int = 4096) -> DataFrame:
+    """(src, dst): star links whose components are those of all pairs with cosine >= least that do not have one nearest centre.
+
+    Every vector lies in one block of about ``block`` vectors of neighbouring
+    cells, and every block meets every block once. Of two blocks only those
+    vectors are compared that the triangle inequality lets reach a cell of the
+    other: their angle to its centre is at most the cell's radius there and the
+    linking angle. So tight cells cost little, but wide ones are compared with
+    everything: exact for any data, at a cost that can grow with the square of
+    the vectors outside tight cells. Blocks are read from the written table by
+    the tasks that pair them, so no copies are shuffled.
+    """
+    spark = vectors.sparkSession
+    if not len(centres):
+        return spark.createDataFrame([], "src long, dst long")
+    held = spark.sparkContext.broadcast(centres)
+    angle = math.acos(least) + 1e-3
+    cone = math.cos(math.acos(least) / 2) + 1e-4
+
+    def lots(x):
+        s = x @ held.value.T
+        c = s.argmax(axis=1)
+        return c + len(centres) * (s[np.arange(len(x)), c] < cone)
+
+    def census(it):
+        n = np.zeros(2 * len(centres), "i8")
+        for _, _, x in _as_rows(it, dims):
+            n += np.bincount(lots(x), minlength=len(n))
+        yield pd.DataFrame({"lot": np.flatnonzero(n), "n": n[n > 0]})
+
+    size = np.zeros(2 * len(centres), "i8")
+    for r in vectors.mapInPandas(census, "lot int, n long").groupBy("lot").agg(F.sum("n").alias("n")).collect():
+        size[r["lot"]] = r["n"]
+    plan = spark.sparkContext.broadcast((size, np.cumsum(size) - size))
+
+    def deal(it):
+        size, start = plan.value
+        for ids, codes, x in _as_rows(it, dims):
+            g = lots(x)
+            b = (start[g] + (_draw(ids, 98) * size[g]).astype("i8")) // block
+            for i in np.unique(b):
+                own = b == i
+                yield pd.DataFrame({"b": [i], "ids": [ids[own].tobytes()], "codes": [codes[own].tobytes()], "lots": [g[own].astype("<i4").tobytes()]})
+
+    def whole(key, pdf):
+        return pd.DataFrame({"b": [key[0]], **{c: [b"".join(pdf[c])] for c in ("ids", "codes", "lots")}})
+
+    kind = "b long, ids binary, codes binary, lots binary"
+    blocks = stash(vectors.mapInPandas(deal, kind).groupBy("b").applyInPandas(whole, kind).repartition(spark.sparkContext.defaultParallelism * 2, "b"))
+
+    def reach(x, y, lots_y):
+        """Rows of x that can have a link to some row of y."""
+        c, at = np.unique(lots_y, return_inverse=True)
+        own = held.value[c % len(centres)]
+        radius = np.zeros(len(c))
+        np.maximum.at(radius, at, np.arccos(np.clip(np.einsum("ij,ij->i", y, own[at]), -1, 1)))
+        return (x @ own.T >= np.where(radius + angle < math.pi, np.cos(radius + angle), -2)).any(axis=1)
+
+    def meet(it):
+        for pdf in it:
+            for r in pdf.itertuples(index=False):
+                one = r.b == r.b2
+                a, x, g = np.frombuffer(r.ids, "<i8"), unit(_matrix([r.codes], dims)), np.frombuffer(r.lots, "<i4")
+                b, y, h = (a, x, g) if one else (np.frombuffer(r.ids2, "<i8"), unit(_matrix([r.codes2], dims)), np.frombuffer(r.lots2, "<i4"))
+                if len({*(g % len(centres)).tolist(), *(h % len(centres)).tolist()}) == 1:
+                    continue  # one cell
+                if not one:
+                    u = reach(x, y, h)
+                    a, x, g = a[u], x[u], g[u]
+                    v = reach(y, x, g)
+                    b, y = b[v], y[v]
+                if not len(a) or not len(b):
+                    continue
+                link = np.empty((len(a), len(b)), bool)
+                for i in range(0, len(a), 1024):
+                    np.greater_equal(x[i : i + 1024] @ y.T, np.float32(least - 5e-7), out=link[i : i + 1024])
+                if link.any():
+                    yield _stars(link, a, None if one else b)
+
+    pairs = blocks.crossJoin(blocks.toDF("b2", "ids2", "codes2", "lots2")).where("b <= b2")  # blocks, not rows
+    return pairs.mapInPandas(meet, "src long, dst long").where("src <> dst").distinct()
+
+
 def similarity_clusters(vectors: DataFrame, least: float = 0.8, smallest: int = 3, dims: int = 64, max_cells: int = 4096, seed: int = 5) -> DataFrame:
     """(cluster_key, vec_rowid): components of at least ``smallest`` vectors under links of cosine >= least.
 
+    Pairs with one nearest centre are linked in its cell, all others between
+    cells, so no pair is left out.
     The number of cells is the square root of the number of vectors, up to
     ``max_cells``, so that centres stay a bounded broadcast. No vectors, no rows.
     """
@@ -477,7 +577,8 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.8, smallest: int =
     if not n:
         return vectors.sparkSession.createDataFrame([], "cluster_key long, vec_rowid long")
     centres = kmeans_centres(vectors, min(max_cells, max(1, math.isqrt(n))), dims, seed=seed)
-    comp = connected_components(similarity_links(vectors, centres, least, dims))
+    links = similarity_links(vectors, centres, least, dims, cells=1).unionByName(links_between_cells(vectors, centres, least, dims))
+    comp = connected_components(links)
     size = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= smallest)
     return comp.join(size, "component").select(F.col("component").alias("cluster_key"), F.col("node").alias("vec_rowid"))
 

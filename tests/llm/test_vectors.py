@@ -86,6 +86,26 @@ def test_clusters_against_brute_force(spark):
     assert V.similarity_clusters(frame(spark, x).limit(0)).count() == 0
 
 
+def test_clusters_far_from_centres(spark):
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(150, 64))
+    heads /= np.linalg.norm(heads, axis=1, keepdims=True)
+    parts = [heads, rng.normal(size=(3000, 64))]
+    for _ in range(3):  # chains with cosines a little above 0.80
+        side = rng.normal(size=heads.shape)
+        side -= (side * heads).sum(axis=1, keepdims=True) * heads
+        heads = 0.82 * heads + np.sqrt(1 - 0.82**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        parts.append(heads)
+    x = np.concatenate(parts)
+    df, want = frame(spark, x), components(cosines(x), 0.8, 3)
+    assert len(want) >= 600
+    assert {(r["cluster_key"], r["vec_rowid"]) for r in V.similarity_clusters(df).collect()} == want
+    centres = V.kmeans_centres(df, 20)
+    links = V.similarity_links(df, centres, cells=1).unionByName(V.links_between_cells(df, centres, block=200))
+    got = {(r["component"], r["node"]) for r in V.connected_components(links).collect()}
+    assert got == components(cosines(x), 0.8, 2)
+
+
 def test_links_in_blocks_equal_links_at_once(spark):
     x = np.concatenate([clustered(3, 60, 40), clustered(1, 4, 1)])
     df = frame(spark, x)
