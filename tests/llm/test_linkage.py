@@ -162,6 +162,19 @@ def test_name_variants(spark):
     assert V.name_variants(df.limit(0)).count() == 0
 
 
+def test_all_strings_of_a_large_key_meet(spark):
+    names = ["Dabolemar RH", "R. Dabolemar", "Rebecca Dabolemar", "Becky Dabolemar", "Rebecca Dabolemar-Tanabuki", "Roberta Dabolemar", "Dabolemar Rob", "Dabolemmar RH", "Rebecca H Dabolemmar", "DABOLEMAR, REBECCA Q"]
+    df = spark.createDataFrame([("person", n) for n in names], "kind string, name string")
+    one, cut = ({tuple(r) for r in V.name_variants(df, small=k).collect()} for k in (400, 2))
+    assert one and one == cut
+
+
+def test_recurring_misspelling():
+    a, b = V.person_forms("Rebecca Dabolemar"), V.person_forms("Rebecca Dabolemmar")
+    assert V.linked("person", a, b, 40, 5, 4) and V.linked("person", a, b, 400, 50, 4)
+    assert not V.linked("person", a, b, 40, 20, 4) and not V.linked("person", V.person_forms("R Dabolemar"), b, 400, 40, 4)
+
+
 ITEM = "Answer the question using only the passage below. Farmers supplying Zahelvamide hid spare ampoules of rinordecine for volunteers older than 637 minutes, which puzzled friends of XIZL9 when the grant lapsed. Does it hold?"
 PASSAGE = ITEM.split("below. ")[1].rsplit(" Does", 1)[0]
 
