@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    near = V.forest_neighbours(_live(spark, d), table(spark, d, "vectors_vec_rowids").count())
+    near = V.forest_neighbours(_live(spark, d))
     return near.select(F.least("id", "nbr").alias("rowid_lo"), F.greatest("id", "nbr").alias("rowid_hi")).distinct()
 
 
@@ -42,19 +42,23 @@ def pmid_number(c: str) -> F.Column:
 
 
 def judged_papers(papers: DataFrame) -> DataFrame:
-    """papers with pmid_number and, for the four respects, a value and its quality in log-odds."""
+    """papers with pmid_number and, for the four respects, a value and the level of its quality.
+
+    Values that say nothing (no text, no date) are NULL and make no claim.
+    """
     plain = F.regexp_replace(F.regexp_replace("full_text_summary", r"(?s)<[^>]*>", " "), r"&(?:nbsp|#160|#xa0);|\u00a0", " ")
     plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
     bare = F.trim(F.regexp_replace(F.lower(plain), r"[.!?\s]+$", ""))
     status = F.regexp_replace(F.regexp_replace(F.lower("status"), r"^\s+|\s+$", ""), r"[\s_-]+", "_")
     access = F.regexp_replace(F.lower("access_method"), r"[\s_-]+", "")
+    absent = F.coalesce(bare, F.lit("")).isin(NO_TEXT)
     micros = F.unix_micros(F.col("summarized_date").cast("timestamp"))
     return papers.select(
         pmid_number("pmid").alias("pmid_number"), "id", "source",
-        status.alias("v_status"), F.when(status == "summary_ready", 8.0).otherwise(0.0).alias("q_status"),
-        access.alias("v_access"), F.when(access.isin(ACCESS), 8.0).otherwise(0.0).alias("q_access"),
-        F.sha2(bare, 256).alias("v_text"), F.when(F.coalesce(bare, F.lit("")).isin(NO_TEXT), 0.0).otherwise(8.0).alias("q_text"),
-        micros.alias("v_date"), F.coalesce(micros.cast("double") / 86_400_000_000, F.lit(-1e6)).alias("q_date"),
+        status.alias("v_status"), F.when(status == "summary_ready", 1.0).otherwise(0.0).alias("q_status"),
+        access.alias("v_access"), F.when(access.isin(ACCESS), 1.0).otherwise(0.0).alias("q_access"),
+        F.when(~absent, F.sha2(bare, 256)).alias("v_text"), F.when(absent, 0.0).otherwise(1.0).alias("q_text"),
+        micros.alias("v_date"), micros.cast("double").alias("q_date"),
     ).where("pmid_number is not null and id is not null")
 
 
@@ -62,12 +66,12 @@ JUDGED = {"status": ("v_status", "q_status"), "access": ("v_access", "q_access")
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving row of every PubMed number held by two or more rows."""
+    """The surviving row of every PubMed number held by two or more rows, and the record fused from the group."""
     return survivor.surviving_rows(judged_papers(table(spark, d, "papers")), "pmid_number", "id", JUDGED, "source")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Survivors that are at least as good as every other row of their group, and alone in that."""
+    """Survivors that alone are as good as the fused value in every respect."""
     return p3_survivors(spark, d).where("complete and strictly").select("pmid_number", "id")
 
 

@@ -8,6 +8,7 @@ about 4e-6, far below the spread of real similarities.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,42 +85,97 @@ def live_vectors(chunks: DataFrame, rowids: DataFrame, dims: int = 64) -> DataFr
 
 
 class Forest:
-    """Hash strings of the trees: symbol s of tree t is the signed axis nearest to a random rotation."""
+    """Hash strings of the trees, as integers whose leading bits are their prefixes.
 
-    def __init__(self, dims: int, trees: int, depth: int, seed: int):
+    The first symbol of a string is the signed axis nearest to a random
+    rotation of the vector, each further one (3 bits) the nearest of four
+    random directions and its sign.
+    """
+
+    def __init__(self, dims: int, trees: int, more: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.trees, self.depth = trees, depth
-        self.turn = [[np.linalg.qr(rng.normal(size=(dims, dims)))[0].astype("f4") for _ in range(depth)] for _ in range(trees)]
-
-    def symbol(self, x: np.ndarray, tree: int, level: int) -> np.ndarray:
-        p = x @ self.turn[tree][level]
-        a = np.abs(p).argmax(axis=1)
-        return 2 * a + (p[np.arange(len(p)), a] > 0)
-
-
-def _best(ids: np.ndarray, x: np.ndarray, k: int, least: float, tile: int = 1024):
-    """For each row its k best others of this bucket as (row, id, cosine in millionths)."""
-    n, out = len(ids), []
-    x8 = x.astype("f8")
-    x8 /= np.linalg.norm(x8, axis=1, keepdims=True)
-    keep = min(n - 1, k + 8)
-    for a in range(0, n, tile):
-        s = x[a : a + tile] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
+        self.dims, self.trees, self.more = dims, trees, more
+        self.bits = (2 * dims - 1).bit_length() + 3 * more
+        turn = lambda w: np.linalg.qr(rng.normal(size=(dims, dims)))[0][:, :w]
+        self.turn = [np.concatenate([turn(dims), *(turn(4) for _ in range(more))], axis=1).astype("f4") for _ in range(trees)]
+
+    def strings(self, x: np.ndarray, tree: int) -> np.ndarray:
+        p, rows = x @ self.turn[tree], np.arange(len(x))
+
+        def symbol(q: np.ndarray) -> np.ndarray:
+            a = np.abs(q).argmax(axis=1)
+            return 2 * a + (q[rows, a] > 0)
+
+        s = symbol(p[:, : self.dims])
+        for i in range(self.more):
+            s = s * 8 + symbol(p[:, self.dims + 4 * i : self.dims + 4 * i + 4])
+        return s
+
+
+class Census:
+    """How many strings of each tree begin with each prefix, and what follows for blocks and queries.
+
+    ``counts``: (trees, 2 ** bits), the number of vectors under each whole
+    string; bounded by the alphabet. A block is the longest run of a tree's
+    sorted strings that is one prefix and holds at most ``block`` vectors; a
+    string that more vectors share is a block in several parts.
+    """
+
+    def __init__(self, counts: np.ndarray, block: int):
+        self.trees, self.bits = len(counts), counts.shape[1].bit_length() - 1
+        self.under = [counts.reshape(self.trees, 2**b, -1).sum(axis=2) for b in range(self.bits + 1)]
+        cells = np.arange(counts.shape[1])
+        self.length = np.full(counts.shape, self.bits, "i1")
+        for b in range(self.bits, -1, -1):
+            self.length[np.repeat(self.under[b] <= block, 2 ** (self.bits - b), axis=1)] = b
+        drop = self.bits - self.length.astype("i4")
+        self.start = ((cells >> drop) << drop).astype("i4")
+        self.parts = np.where(self.length == self.bits, -(-counts // block), 1).clip(1).astype("i4")
+        #: First strings of the blocks that hold anything, sorted.
+        self.blocks = [np.unique(self.start[t][counts[t] > 0]) for t in range(self.trees)]
+
+    def levels(self, strings: np.ndarray, least: int) -> np.ndarray:
+        """Prefix length of each query: all trees ascend together until their subtrees hold ``least`` vectors in all."""
+        out = np.zeros(strings.shape[1], "i1")
+        for b in range(1, self.bits + 1):
+            held = sum(self.under[b][t][strings[t] >> (self.bits - b)] for t in range(self.trees))
+            out[(held >= least) & (out == b - 1)] = b
+        return out
+
+
+def _best(qids, xq, mids, xm, at, k: int, least: float, tile: int = 1024):
+    """For each query its k best members and some more as (query id, member id, cosine in millionths).
+
+    ``at``: where the query itself stands among the members, or -1.
+    """
+    n, out = len(mids), []
+    keep = min(n, k + 8)
+    seniority = np.argsort(np.argsort(mids))
+    for a in range(0, len(qids), tile):
+        s = xq[a : a + tile] @ xm.T
+        own = np.flatnonzero(at[a : a + tile] >= 0)
+        s[own, at[a : a + tile][own]] = -2
         rows = np.flatnonzero(s.max(axis=1) >= least - 1e-4)
         if not len(rows):
             continue
         s = s[rows]
         top = np.argpartition(s, n - keep, axis=1)[:, n - keep :] if keep < n else np.broadcast_to(np.arange(n), s.shape)
+        if keep < n:  # where more than the kept ones may tie, the smaller ids are kept
+            v = np.sort(np.take_along_axis(s, top, 1), axis=1)
+            crowd = np.flatnonzero((v[:, -k] - v[:, 0] < 2e-6) & (v[:, -k] >= least - 1e-4))
+            for u in range(0, len(crowd), 64):
+                w = crowd[u : u + 64]
+                ranked = np.rint(s[w].astype("f8") * 1e6) * n - seniority
+                top[w] = np.argpartition(ranked, n - keep, axis=1)[:, n - keep :]
         r, c = np.repeat(rows + a, top.shape[1]), top.ravel()
-        good = (np.take_along_axis(s, top, 1).ravel() >= least - 1e-4) & (r != c)
+        good = np.take_along_axis(s, top, 1).ravel() >= least - 1e-4
         r, c = r[good], c[good]
-        cos = np.rint(np.einsum("ij,ij->i", x8[r], x8[c]) * 1e6).astype("i4")
+        u, v = xq[r].astype("f8"), xm[c].astype("f8")
+        cos = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
+        cos = np.rint(cos * 1e6).astype("i4")
         good = cos >= round(least * 1e6)
-        out.append((r[good], ids[c[good]], cos[good]))
-    if not out:
-        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i4")
-    return tuple(np.concatenate(v) for v in zip(*out))
+        out.append((qids[r[good]], mids[c[good]], cos[good]))
+    return out
 
 
 def _ranked(row: np.ndarray, nbr: np.ndarray, cos: np.ndarray, k: int):
@@ -140,30 +196,33 @@ PAIR = np.dtype([("id", "<i8"), ("cos", "<i4")])
 
 
 def forest_neighbours(
-    vectors: DataFrame, n: int, k: int = 5, least: float = 0.8, dims: int = 64, trees: int = 5, depth: int = 6, bucket: int = 8192, group: int = 250_000, seed: int = 11
+    vectors: DataFrame, k: int = 5, least: float = 0.8, dims: int = 64, trees: int = 5, more: int = 4, candidates: int = 5120, block: int = 8192, seed: int = 11
 ) -> DataFrame:
     """(id, nbr, cos): the k most similar other vectors with cosine >= least, best first, ties to the smaller id.
 
-    Method: a forest of hash strings. Every vector enters each tree under its
-    string; a query starts at its longest prefix and ascends to the largest
-    subtree of at most ``bucket`` members, in all trees alike, and the union of
-    these subtrees is compared exactly. A subtree is one shuffle key: the first
-    symbol, or the first two or three where more than ``group`` rows share it
-    (counted first if the table, of at most ``n`` rows, is larger than that).
-    Rows of one (tree, prefix) leave each map task packed in one blob, so the
-    shuffle carries little besides codes and ids. A subtree still too large at
-    the last symbol is compared whole, block by block.
+    Method: a forest of hash strings. Each tree is the array of all vectors
+    sorted by their strings, cut into blocks of at most ``block`` vectors. A
+    query descends to its longest prefix and then ascends, in all trees
+    together, until the subtrees it stands in hold ``candidates`` vectors in
+    all; these are compared with it exactly. How long the prefix is follows
+    from one count of all vectors by string (bounded by the alphabet, whatever
+    the number of vectors): short where vectors are sparse, long where they are
+    dense. No subtree is cut: one that spans several blocks sends its queries
+    to each of them, and a single string that more than a block of vectors
+    share is split into parts that meet pairwise, so no task holds more than
+    about two blocks.
+    Rows of one block leave each map task packed in one blob, so the shuffle
+    carries little besides codes and ids.
 
     Copies: of vectors with one code, the k + 1 smallest ids enter the forest;
     each further copy has the k smallest as its neighbours, by definition.
 
     cos is in millionths. No vectors, no rows. NULL codes are ignored.
     """
-    vectors = vectors.where("code is not null and vec_rowid is not null").select(
-        F.col("vec_rowid").alias("id"), "code", F.xxhash64("code").alias("h1"), F.xxhash64(F.lit(7), "code").alias("h2")
-    )
-    heavy = vectors.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).drop("n")
-    salted = vectors.join(heavy, ["h1", "h2"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    vectors = stash(vectors.where("code is not null and vec_rowid is not null").select(F.col("vec_rowid").alias("id"), "code"))
+    hashed = vectors.select("*", F.xxhash64("code").alias("h1"), F.xxhash64(F.lit(7), "code").alias("h2"))
+    heavy = stash(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).drop("n"))
+    salted = hashed.join(heavy, ["h1", "h2"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     w1, w2 = Window.partitionBy("h1", "h2", "salt").orderBy("id"), Window.partitionBy("h1", "h2").orderBy("id")
     lead = salted.withColumn("r", F.row_number().over(w1)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(w2)).where(F.col("r") <= k + 1)
     firsts = lead.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("firsts"))
@@ -173,73 +232,94 @@ def forest_neighbours(
         .where(F.col("id") > F.element_at("firsts", k + 1))
         .select("id", F.explode(F.slice("firsts", 1, k)).alias("nbr"), F.lit(1_000_000).alias("cos"))
     )
-    members = vectors.join(heavy, ["h1", "h2"], "left_anti").select("id", "code").unionByName(lead.select("id", "code"))
-
-    wood = Forest(dims, trees, depth, seed)
-
-    width = 2 * dims
-    deep = np.zeros((trees, width + width**2), bool)  # prefixes of one and two symbols that are split further
-    if n > group:
-
-        def tally(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c = np.zeros((trees, width**2), "i8")
-            for pdf in it:
-                if len(pdf):
-                    x = unit(_matrix(pdf["code"], dims))
-                    for t in range(trees):
-                        c[t] += np.bincount(wood.symbol(x, t, 0) * width + wood.symbol(x, t, 1), minlength=width**2)
-            t, p = np.nonzero(c)
-            yield pd.DataFrame({"tree": t.astype("i4"), "prefix": p.astype("i4"), "n": c[t, p]})
-
-        counts = np.zeros((trees, width**2), "i8")  # bounded by the alphabet
-        for r in members.mapInPandas(tally, "tree int, prefix int, n long").groupBy("tree", "prefix").agg(F.sum("n").alias("n")).collect():
-            counts[r["tree"], r["prefix"]] = r["n"]
-        deep[:, :width] = counts.reshape(trees, width, width).sum(axis=2) > group
-        deep[:, width:] = counts > group
-
-    def prefix(x: np.ndarray, t: int) -> np.ndarray:
-        s = wood.symbol(x, t, 0)
-        for level in (1, 2):
-            more = np.flatnonzero(deep[t][s]) if level == 1 else np.flatnonzero((s >= width) & deep[t][np.minimum(s, width + width**2 - 1)])
-            if len(more):
-                s = s.copy()
-                base = s[more] * width if level == 1 else width**2 + (s[more] - width) * width
-                s[more] = width + base + wood.symbol(x[more], t, level)
-        return s
+    members = hashed.join(heavy, ["h1", "h2"], "left_anti").select("id", "code").unionByName(lead.select("id", "code"))
+
+    wood = Forest(dims, trees, more, seed)
+    head = wood.bits - 7  # counts travel in slices of seven leading bits
+
+    def tally(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = np.zeros((trees, 2**wood.bits), "i8")
+        for pdf in it:
+            if len(pdf):
+                x = unit(_matrix(pdf["code"], dims))
+                for t in range(trees):
+                    np.add.at(c[t], wood.strings(x, t), 1)
+        c = c.reshape(trees, -1, 2**head)
+        t, p = np.nonzero(c.any(axis=2))
+        yield pd.DataFrame({"tree": t.astype("i4"), "slice": p.astype("i4"), "n": [zlib.compress(c[i, j].tobytes(), 1) for i, j in zip(t, p)]})
+
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = sum(np.frombuffer(zlib.decompress(b), "i8") for b in pdf["n"])
+        return pd.DataFrame({"tree": [key[0]], "slice": [key[1]], "n": [zlib.compress(n.tobytes(), 1)]})
+
+    kind = "tree int, slice int, n binary"
+    counts = np.zeros((trees, 2**wood.bits >> head, 2**head), "i8")
+    for r in members.mapInPandas(tally, kind).groupBy("tree", "slice").applyInPandas(add, kind).collect():
+        counts[r["tree"], r["slice"]] = np.frombuffer(zlib.decompress(r["n"]), "i8")
+    held = vectors.sparkSession.sparkContext.broadcast(Census(counts.reshape(trees, -1), block))
 
     def plant(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = held.value
         for pdf in it:
             if not len(pdf):
                 continue
             codes = _matrix(pdf["code"], dims)
             ids, x = pdf["id"].to_numpy("i8"), unit(codes)
-            parts = []
+            strings = np.stack([wood.strings(x, t) for t in range(trees)])
+            levels, rows = c.levels(strings, candidates), []
+
+            def send(own, t, start, i, j, asks, held):
+                """Rows ``own`` to a group: members of its part i (``held``), queries of its part j (``asks``)."""
+                flag = (levels[own].astype("i4") if asks else np.full(len(own), 64)) + (128 if held else 0)
+                rows.append((t, int(start), int(i), int(j), ids[own].tobytes(), codes[own].tobytes(), strings[t][own].astype("<i4").tobytes(), flag.astype("u1").tobytes()))
+
             for t in range(trees):
-                s = prefix(x, t)
-                o = np.argsort(s, kind="stable")
-                cut = np.flatnonzero(np.r_[True, s[o][1:] != s[o][:-1]])
+                s = strings[t]
+                start, parts = c.start[t][s], c.parts[t][s]
+                part = (_draw(ids, 97) * parts).astype("i4")
+                o = np.lexsort((part, start))
+                cut = np.flatnonzero(np.r_[True, (np.diff(start[o]) != 0) | (np.diff(part[o]) != 0)])
                 for a, b in zip(cut, np.r_[cut[1:], len(o)]):
                     own = o[a:b]
-                    parts.append((t, int(s[own[0]]), ids[own].tobytes(), codes[own].tobytes()))
-            yield pd.DataFrame(parts, columns=["tree", "prefix", "ids", "codes"])
+                    i, n = part[own[0]], parts[own[0]]
+                    send(own, t, start[own[0]], i, i, True, True)
+                    for j in range(n):
+                        if j != i:
+                            send(own, t, start[own[0]], i, j, False, True)
+                            send(own, t, start[own[0]], j, i, True, False)
+                wide = np.flatnonzero((c.length[t][s] > levels) & ((levels > 0) | (t == 0)))
+                drop = c.bits - levels[wide].astype("i4")
+                node = np.stack([(s[wide] >> drop) << drop, drop], 1)
+                for first, d in np.unique(node, axis=0) if len(wide) else []:
+                    own = wide[(node == (first, d)).all(axis=1)]
+                    lo, hi = np.searchsorted(c.blocks[t], [first, first + (1 << d)])
+                    for other in c.blocks[t][lo:hi]:
+                        away = own[start[own] != other]
+                        for i in range(c.parts[t][other]) if len(away) else []:
+                            send(away, t, other, i, 0, True, False)
+            yield pd.DataFrame(rows, columns=["tree", "start", "i", "j", "ids", "codes", "strings", "flags"])
 
     def harvest(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.frombuffer(b"".join(pdf["ids"]), "<i8")
-        x = unit(_matrix(pdf["codes"], dims))
-        tree, found, todo = int(key[0]), [], [(np.arange(len(ids)), 1)]
-        while todo:
-            own, level = todo.pop()
-            if len(own) < 2:
-                continue
-            if len(own) > bucket and level < depth:
-                s = wood.symbol(x[own], tree, level)
-                o = np.argsort(s, kind="stable")
-                cut = np.flatnonzero(np.r_[True, s[o][1:] != s[o][:-1]])
-                todo += [(own[o[a:b]], level + 1) for a, b in zip(cut, np.r_[cut[1:], len(o)])]
-                continue
-            r, nbr, cos = _best(ids[own], x[own], k, least)
-            found.append(_ranked(ids[own][r], nbr, cos, k))
-        return _packed(*(np.concatenate(v) for v in zip(*found))) if found else pd.DataFrame({"id": np.zeros(0, "i8"), "near": []})
+        ids, flag = np.frombuffer(b"".join(pdf["ids"]), "<i8"), np.frombuffer(b"".join(pdf["flags"]), "u1")
+        s, x = np.frombuffer(b"".join(pdf["strings"]), "<i4"), unit(_matrix(pdf["codes"], dims))
+        mine = np.flatnonzero(flag >= 128)
+        mine = mine[np.argsort(s[mine], kind="stable")]
+        place = np.full(len(ids), -1)
+        place[mine] = np.arange(len(mine))
+        level = (flag & 127).astype("i4")
+        asks = np.flatnonzero((level < 64) & ((level > 0) | (key[0] == 0)))
+        drop = wood.bits - level[asks]
+        node = np.stack([(s[asks] >> drop) << drop, drop], 1)
+        xm, mids, found = x[mine], ids[mine], []
+        for first, d in np.unique(node, axis=0) if len(asks) else []:
+            own = asks[(node == (first, d)).all(axis=1)]
+            lo, hi = np.searchsorted(s[mine], [first, first + (1 << int(d))])
+            at = np.where((place[own] >= lo) & (place[own] < hi), place[own] - lo, -1)
+            if hi > lo:
+                found += _best(ids[own], x[own], mids[lo:hi], xm[lo:hi], at, k, least)
+        if not found:
+            return pd.DataFrame({"id": np.zeros(0, "i8"), "near": []})
+        return _packed(*_ranked(*(np.concatenate(v) for v in zip(*found)), k))
 
     def merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -249,8 +329,8 @@ def forest_neighbours(
             row, nbr, cos = _ranked(row, p["id"], p["cos"], k)
             yield pd.DataFrame({"id": row, "nbr": nbr, "cos": cos})
 
-    planted = members.mapInPandas(plant, "tree int, prefix int, ids binary, codes binary")
-    near = planted.groupBy("tree", "prefix").applyInPandas(harvest, "id long, near binary")
+    planted = members.mapInPandas(plant, "tree int, start int, i int, j int, ids binary, codes binary, strings binary, flags binary")
+    near = planted.groupBy("tree", "start", "i", "j").applyInPandas(harvest, "id long, near binary")
     best = near.groupBy("id").agg(F.collect_list("near").alias("near")).mapInPandas(merge, "id long, nbr long, cos int")
     return best.unionByName(copies)
 

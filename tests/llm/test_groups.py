@@ -57,6 +57,37 @@ def test_copied_votes_are_discounted(spark):
     assert B.fuse_claims(c.limit(0)).count() == 0
 
 
+def test_differing_values_speak_against_copying(spark):
+    """y shares x's false values and nothing else (a copier); z shares as many but differs elsewhere."""
+    rows = []
+    for k in range(12):
+        for s in ("a", "b", "c"):
+            rows.append((str(k), "f", "t", s, 0.0))
+        rows += [(str(k), "f", f"w{k}", s, 0.0) for s in ("x", "y")]
+    base = spark.createDataFrame(rows, "key string, field string, value string, source string, quality double")
+    conf = lambda df: {(r["key"], r["value"]): r["confidence"] for r in B.fuse_claims(df).collect()}
+    assert max(v for (k, w), v in conf(base).items() if w.startswith("w")) < 0.2
+    # quality is a prior that votes cannot outweigh, and decides nothing between equals
+    better = spark.createDataFrame([("k", "f", "new", "x", 2.0), *(("k", "f", "old", s, 1.0) for s in "abcdefgh"), ("j", "f", "u", "a", 1.0), ("j", "f", "u", "b", 1.0), ("j", "f", "v", "c", 1.0)], base.schema)
+    assert {(r["key"], r["value"]) for r in B.fuse_claims(better).where("wins").collect()} == {("k", "new"), ("j", "u")}
+
+
+def test_fusion_decides_the_survivors(spark, monkeypatch):
+    """p3 rests on the posteriors: with claims fused to nothing, other rows come out."""
+    data = [("a", 1, "s1", "ready", 1.0, "t", 1.0), ("a", 2, "s2", "saved", 0.0, None, 0.0)]
+    assert survive(spark, data)["a"] == (1, True, True)
+    real = B.fuse_claims
+    monkeypatch.setattr(B, "fuse_claims", lambda c: real(c).withColumn("wins", F.lit(False)))
+    assert survive(spark, data)["a"][2] is False
+
+
+def test_fused_record(spark):
+    data = [("a", 1, "s1", "ready", 1.0, "t", 1.0), ("a", 2, "s2", "saved", 0.0, "u", 1.0), ("a", 3, "s3", None, 0.0, "u", 1.0), ("b", 4, "s1", None, 0.0, None, 0.0), ("b", 5, "s1", None, 0.0, None, 0.0)]
+    df = spark.createDataFrame(data, "k string, id long, source string, vs string, qs double, vt string, qt double")
+    got = {r["k"]: r for r in B.surviving_rows(df, "k", "id", FIELDS, "source").collect()}
+    assert (got["a"]["best_status"], got["a"]["best_text"]) == ("ready", "u") and got["b"]["best_status"] is None and not got["b"]["strictly"]
+
+
 def test_budget_tree():
     leaf = lambda d, l, s, t, w, m: {"domain": d, "language": l, "source": s, "tokens": t, "weight": w, "max_repeats": m}
     total, out = M.budgets([leaf("d1", "en", "a", 100, 0.5, 1), leaf("d1", "en", "b", 1000, 0.2, 1), leaf("d2", "en", "c", 1000, 0.3, 1)], 400.0)

@@ -43,25 +43,43 @@ def test_live_vectors(spark):
     assert V.live_vectors(chunks.limit(0), rows).count() == 0
 
 
-@pytest.mark.parametrize("group,bucket", [(250_000, 8192), (60, 40)])
-def test_forest_recall(spark, group, bucket):
+@pytest.mark.parametrize("candidates,block", [(5120, 8192), (60, 16), (200, 40)])
+def test_forest_recall(spark, candidates, block):
     x = clustered()
-    got = {(r["id"], r["nbr"]): r["cos"] for r in V.forest_neighbours(frame(spark, x), len(x), group=group, bucket=bucket, trees=6).collect()}
+    got = {(r["id"], r["nbr"]): r["cos"] for r in V.forest_neighbours(frame(spark, x), candidates=candidates, block=block, trees=6).collect()}
     s = cosines(x)
     want = {(i + 1, int(j) + 1) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:5] if s[i, j] >= 0.8}
     assert len(want & set(got)) >= 0.9 * len(want)
     assert all(abs(c / 1e6 - s[a - 1, b - 1]) < 3e-5 and s[a - 1, b - 1] >= 0.7999 for (a, b), c in got.items())
 
 
+def test_forest_blocks_do_not_change_the_result(spark):
+    """A crowd under one string is cut into parts, and sparse queries beside it still meet all of it."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=64) + rng.normal(size=(90, 64)) * 1e-4, rng.normal(size=(60, 64)), clustered(4, 6, 0)])
+    one, cut = ({tuple(r) for r in V.forest_neighbours(frame(spark, x), candidates=50, block=b).collect()} for b in (8192, 10))
+    assert one == cut and len(one) >= 90 * 5
+
+
+def test_census_levels():
+    counts = np.zeros((2, 1 << 10), "i8")
+    counts[0, 5], counts[0, 6], counts[1, 900] = 40, 3, 7
+    c = V.Census(counts, 10)
+    assert c.parts[0, 5] == 4 and c.length[0, 5] == 10 and c.start[0, 6] == 6 and c.length[1, 900] == 0
+    strings = np.array([[5, 6, 6], [900, 900, 100]])
+    assert c.levels(strings, 45).tolist() == [10, 7, 8]  # from 46 = 43 + ..., all trees alike
+    assert c.levels(strings, 1000).tolist() == [0, 0, 0]
+
+
 def test_forest_copies_and_ties(spark):
     one = RNG.normal(size=64)
     x = np.concatenate([np.repeat(one[None], 40, axis=0), RNG.normal(size=(3, 64)), (one * 3)[None]])
     got = {}
-    for r in V.forest_neighbours(frame(spark, x), len(x)).collect():
+    for r in V.forest_neighbours(frame(spark, x)).collect():
         got.setdefault(r["id"], []).append(r["nbr"])
     assert sorted(got[1]) == [2, 3, 4, 5, 6] and sorted(got[40]) == [1, 2, 3, 4, 5] and sorted(got[44]) == [1, 2, 3, 4, 5]
     assert not {41, 42, 43} & set(got)
-    assert V.forest_neighbours(frame(spark, x).limit(0), 0).count() == 0
+    assert V.forest_neighbours(frame(spark, x).limit(0)).count() == 0
 
 
 def components(s, least, smallest):
