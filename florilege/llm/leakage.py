@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -15,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
     "абвеіјкмнорԛѕтуԝхһсԁӏАВЕІЈКМНОРЅТУХСԌԚԜαβεικνορτυχγΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɡɑⅼ",
@@ -64,28 +65,19 @@ def plain_words(text: str, word: re.Pattern = _ASCII) -> list[str]:
 
 
 class Passages:
-    """Normalised words of the test items and their n-grams, ready for look-up."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int = 3, common: float = 0.05, shared: int = 6, rare: float = 0.02):
-        #: Texts are cut into words of ASCII letters unless an item holds others.
-        self.word = _ASCII if all(w.isascii() for _, t in items for w in plain_words(t or "", _ANY)) else _ANY
-        words = {i: plain_words(t or "", self.word) for i, t in items}
-        texts = set(map(tuple, words.values()))  # an item that is repeated counts once
-        seen = Counter(g for w in texts for g in {w[k : k + shared] for k in range(len(w) - shared + 1)})
-        often = {g for g, c in seen.items() if c >= max(3, common * len(texts))}
-        self.words: dict[int, list[str]] = {}
-        for i, w in words.items():
-            drop = {k + j for k in range(len(w) - shared + 1) if tuple(w[k : k + shared]) in often for j in range(shared)}
-            self.words[i] = [x for k, x in enumerate(w) if k not in drop]
-        self.n = n
-        texts = set(map(tuple, self.words.values()))
-        held = Counter(x for w in texts for x in set(w))
-        #: Words that tell an item from others made after the same pattern.
-        self.rare = {i: {x for x in w if held[x] <= max(2, rare * len(texts))} for i, w in self.words.items()}
-        self.ids = {w: k for k, w in enumerate(sorted({w for ws in self.words.values() for w in ws}))}
+    """Words of test items, without what many items share, and their n-grams, ready for look-up.
+
+    ``usual``: words too many items hold to tell one from another. They are
+    counted over all items (see ``item_words``), so that what is found does not
+    depend on how items are split over several look-up sets.
+    """
+
+    def __init__(self, words: dict[int, list[str]], usual: frozenset[str], word: re.Pattern = _ASCII, n: int = 3):
+        self.words, self.usual, self.word, self.n = words, usual, word, n
+        self.ids = {w: k for k, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
         self.base = len(self.ids) + 1
         found: dict[int, list[tuple[int, int]]] = {}
-        for i, w in self.words.items():
+        for i, w in words.items():
             v = [self.ids[x] for x in w]
             for k in range(len(v) - n + 1):
                 found.setdefault(sum(x * self.base**j for j, x in enumerate(v[k : k + n])), []).append((i, k))
@@ -93,6 +85,44 @@ class Passages:
         self.places = [found[g] for g in self.grams.tolist()]
 
 
+def item_words(items: DataFrame, item: str, text: str, common: float = 0.05, shared: int = 6, rare: float = 0.02) -> tuple[DataFrame, frozenset[str], re.Pattern]:
+    """((item, ws), usual words, word pattern): items without word runs that many of them share, and what tells none apart.
+
+    Runs of ``shared`` words in at least three and ``common`` of the distinct
+    items are taken out (the common instruction); words then in more than two
+    and ``rare`` of them are usual. Both are counted by Spark over all items; as
+    each takes a share of all items, at most the mean length of an item divided
+    by that share of either reaches the driver. Texts are cut into words of
+    ASCII letters unless an item holds others.
+    """
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            yield pd.DataFrame({item: p[item], "ws": [plain_words(t or "", _ANY) for t in p[text]]})
+
+    kind = f"{item} long, ws array<string>"
+    plain = stash(items.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias(item), text).mapInPandas(read, kind))
+    word = _ANY if plain.where(F.exists("ws", lambda w: w.rlike(r"[^\x00-\x7f]"))).limit(1).count() else _ASCII
+    texts = plain.select("ws").distinct()  # an item that is repeated counts once
+    runs = F.transform(F.sequence(F.lit(1), F.size("ws") - (shared - 1)), lambda k: F.array_join(F.slice(F.col("ws"), k, shared), " "))
+    grams = texts.where(F.size("ws") >= shared).select(F.explode(F.array_distinct(runs)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    often = frozenset(r["g"] for r in grams.where(F.col("n") >= max(3, common * texts.count())).select("g").collect())
+
+    def clear(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            out = []
+            for w in p["ws"]:
+                drop = {k + j for k in range(len(w) - shared + 1) if " ".join(w[k : k + shared]) in often for j in range(shared)}
+                out.append([x for k, x in enumerate(w) if k not in drop])
+            yield pd.DataFrame({item: p[item], "ws": out})
+
+    left = stash(plain.mapInPandas(clear, kind))
+    texts = left.select("ws").distinct()
+    held = texts.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    usual = frozenset(r["w"] for r in held.where(F.col("n") > max(2, rare * texts.count())).select("w").collect())
+    return left, usual, word
+
+
 def _run(doc: list[str], item: list[str], d: int, i: int, n: int) -> tuple[int, int, list[tuple[int, int]]]:
     """(first item word, end, places (document, item) that agree) of the longest run through an n-gram found at (d, i).
 
@@ -125,8 +155,12 @@ def _run(doc: list[str], item: list[str], d: int, i: int, n: int) -> tuple[int,
     return left, right + 1, [*reversed(x), *((d + k, i + k) for k in range(n)), *y]
 
 
-def leaks_in(text: str | None, p: Passages, least: int) -> list[tuple[int, int, int]]:
-    """(item, words of the item covered, words that agree) for every item with a run of at least ``least`` words."""
+#: item, words covered, telling words right and wrong, places (document, item) that agree
+Run = tuple[int, int, int, int, list[tuple[int, int]]]
+
+
+def runs_in(text: str | None, p: Passages) -> list[Run]:
+    """All runs of item words in a document that go through an n-gram of theirs."""
     if not text:
         return []
     doc = plain_words(text, p.word)
@@ -139,28 +173,33 @@ def leaks_in(text: str | None, p: Passages, least: int) -> list[tuple[int, int,
         key += v[j : j + m] * p.base**j
         ok &= v[j : j + m] >= 0
     at = np.flatnonzero(ok)
-    if not len(at):
+    if not len(at) or not len(p.grams):
         return []
     pos = np.searchsorted(p.grams, key[at])
     pos[pos == len(p.grams)] = 0
     hit = p.grams[pos] == key[at]
     at, pos = at[hit], pos[hit]
-    runs: list[tuple[int, int, int, int, list[tuple[int, int]]]] = []  # item, words covered, telling words right and wrong, places that agree
+    runs: list[Run] = []
     done: dict[tuple[int, int], int] = {}
     for d, g in zip(at.tolist(), pos.tolist()):
         for item, i in p.places[g]:
             if done.get((item, d - i), -1) >= d:
                 continue
-            words, rare = p.words[item], p.rare[item]
+            words = p.words[item]
             a, b, agree = _run(doc, words, d, i, p.n)
             for x, y in agree:
                 done[item, x - y] = x
-            own = sum(words[k] in rare for _, k in agree)
-            runs.append((item, b - a, own, sum(w in rare for w in words[a:b]) - own, agree))
-    best: dict[int, tuple[int, int]] = {}
+            own = sum(words[k] not in p.usual for _, k in agree)
+            runs.append((item, b - a, own, sum(w not in p.usual for w in words[a:b]) - own, agree))
+    return runs
+
+
+def leaked(runs: list[Run], least: int) -> list[tuple[int, int, int, int, int]]:
+    """(item, words of it covered, words that agree, first and last document word) of each item with a run of at least ``least`` words that counts."""
+    best: dict[int, tuple[int, int, int, int]] = {}
     holders: dict[int, list[int]] = {}
     for item, covered, own, wrong, agree in runs:
-        if covered < least or (covered, len(agree)) <= best.get(item, (0, 0)):
+        if covered < least or (covered, len(agree)) <= best.get(item, (0, 0))[:2]:
             continue
         if (own < 2 or own < 2 * wrong) and not _verbatim(agree, least):
             if not holders:  # runs by the document words they agree with
@@ -169,7 +208,7 @@ def leaks_in(text: str | None, p: Passages, least: int) -> list[tuple[int, int,
                         holders.setdefault(x, []).append(r)
             if _contested(item, agree, own < 2 * wrong, runs, holders):
                 continue  # another text of the same pattern
-        best[item] = (covered, len(agree))
+        best[item] = (covered, len(agree), agree[0][0], agree[-1][0])
     return [(item, *x) for item, x in best.items()]
 
 
@@ -198,8 +237,27 @@ def _contested(item: int, agree: list[tuple[int, int]], off: bool, runs: list, h
     return False
 
 
+def _offset(text: str, nth: int, word: re.Pattern) -> int:
+    """Where the normalised word number ``nth`` begins: the longest beginning of the text with so many words before it."""
+    a, b = 0, len(text)
+    while a < b:
+        m = (a + b + 1) // 2
+        if len(plain_words(text[:m], word)) <= nth:
+            a = m
+        else:
+            b = m - 1
+    while a > 0 and not text[a - 1].isspace():
+        a -= 1
+    return a
+
+
+def _span(text: str, first: int, last: int, word: re.Pattern) -> tuple[int, int]:
+    """Characters from the word number ``first`` to behind the word number ``last``, at blanks."""
+    return _offset(text, first, word), max(_offset(text, first, word), _offset(text, last + 1, word)) if last + 1 < len(plain_words(text, word)) else len(text)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", least: int = 12, max_grams: int = 2_000_000) -> DataFrame:
-    """(ident, item, covered, agreeing): documents that hold a passage of a test item.
+    """(ident, item, covered, agreeing, start, end): documents that hold a passage of a test item, and between which characters.
 
     Method: the items' normalised word n-grams are broadcast as a sorted set,
     every document is scanned through it in one pass without a shuffle, and each
@@ -210,36 +268,80 @@ def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     items have agree at least twice and twice as often as they disagree, or if no
     other item agrees with as much of the same stretch.
 
-    The broadcast is bounded: items are taken in slices of at most ``max_grams``
-    n-grams, each scanned on its own. Whole texts are read; NULL and empty ones
+    The broadcast is bounded: with more than ``max_grams`` n-grams the items are
+    dealt over several sets, each scanned on its own, and a document's runs are
+    judged together afterwards. Statistics are those of all items, so the result
+    does not depend on ``max_grams``. Whole texts are read; NULL and empty ones
     hold nothing; repeated items are each reported. No items, no rows.
     """
     spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in items.where(F.col(item).isNotNull()).select(item, text).orderBy(item).toLocalIterator()]
-    slices, size = [[]], 0
-    for r in rows:
-        n = len((r[1] or "").split())
-        if size + n > max_grams and slices[-1]:
-            slices.append([])
-            size = 0
-        slices[-1].append(r)
-        size += n
-    out = None
+    words, usual, word = item_words(items, item, text)
+    total = words.agg(F.sum(F.size("ws"))).first()[0] or 0
+    lots = max(1, -(-total // max_grams))
+    words = words.withColumn("lot", F.pmod(F.xxhash64(item), F.lit(lots)))
     kind = docs.schema[ident].dataType.simpleString()
-    for part in slices:
-        held = spark.sparkContext.broadcast(Passages(part))
+    docs = docs.where(F.col(ident).isNotNull()).select(ident, text)
+    found = f"{ident} {kind}, {item} long, covered int, agreeing int, start int, end int"
+    columns = [c.split()[0] for c in found.split(", ")]
+    out = None
+    for lot in range(lots):
+        own = {r[item]: list(r["ws"]) for r in words.where(F.col("lot") == lot).select(item, "ws").orderBy(item).toLocalIterator()}
+        held = spark.sparkContext.broadcast(Passages(own, usual, word))
 
         def scan(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            p = held.value
             for pdf in it:
-                found = [(i, *x) for i, t in zip(pdf[ident], pdf[text]) for x in leaks_in(t, p, least)]
-                yield pd.DataFrame(found, columns=[ident, item, "covered", "agreeing"])
+                rows = [(i, *x[:3], *_span(t, *x[3:], word)) for i, t in zip(pdf[ident], pdf[text]) for x in leaked(runs_in(t, held.value), least)]
+                yield pd.DataFrame(rows, columns=columns)
+
+        def gather(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                rows = []
+                for i, t in zip(pdf[ident], pdf[text]):
+                    for r in runs_in(t, held.value):
+                        at = _span(t, r[4][0][0], r[4][-1][0], word) if r[1] >= least else (-1, -1)
+                        rows.append((i, *r[:4], np.array(r[4], "<i4").tobytes(), *at))
+                yield pd.DataFrame(rows, columns=[ident, item, "covered", "own", "wrong", "agree", "start", "end"])
 
-        one = docs.where(F.col(ident).isNotNull()).select(ident, text).mapInPandas(scan, f"{ident} {kind}, {item} long, covered int, agreeing int")
+        one = docs.mapInPandas(scan, found) if lots == 1 else docs.mapInPandas(gather, f"{ident} {kind}, {item} long, covered int, own int, wrong int, agree binary, start int, end int")
         out = one if out is None else out.unionByName(one)
-    return out
+    if lots == 1:
+        return out
+
+    def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        agree = [[tuple(x) for x in np.frombuffer(b, "<i4").reshape(-1, 2).tolist()] for b in pdf["agree"]]
+        runs = sorted(zip(pdf[item].tolist(), pdf["covered"].tolist(), pdf["own"].tolist(), pdf["wrong"].tolist(), agree), key=lambda r: (r[4][0], r[0]))
+        at = {(i, g[0][0], g[-1][0]): x for i, g, *x in zip(pdf[item].tolist(), agree, pdf["start"].tolist(), pdf["end"].tolist())}
+        return pd.DataFrame([(key[0], *x[:3], *at[x[0], x[3], x[4]]) for x in leaked(runs, least)], columns=columns)
+
+    return out.groupBy(ident).applyInPandas(judge, found)  # the runs of one document
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, ident: str = "doc_id") -> DataFrame:
     """The documents in which no test passage was found."""
     return docs.join(leaks.select(ident).distinct(), ident, "left_anti")
+
+
+def cut_leaks(docs: DataFrame, leaks: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, text, spans, cut_chars): the affected documents without their leaked spans.
+
+    ``leaks``: what ``find_leaks`` gave for these documents. Overlapping spans
+    are cut once. Only affected documents are read again, whole. Documents
+    without a leak give no row.
+    """
+    kind = docs.schema[ident].dataType.simpleString()
+    spans = leaks.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("at"))  # at most one an item
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            rows = []
+            for i, t, at in zip(p[ident], p[text], p["at"]):
+                kept, last, n = [], 0, 0
+                for a, b in ((x["start"], x["end"]) for x in at):
+                    n += a >= last
+                    kept.append(t[last:a])
+                    last = max(last, b)
+                out = "".join(kept) + t[last:]
+                rows.append((i, out, n, len(t) - len(out)))
+            yield pd.DataFrame(rows, columns=[ident, "text", "spans", "cut_chars"])
+
+    return docs.select(ident, text).join(spans, ident).mapInPandas(cut, f"{ident} {kind}, text string, spans int, cut_chars int")

@@ -134,6 +134,12 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(docs.select("doc_id", "source", "n_chars"), p8_leaks(spark, d))
 
 
+def p8_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """Affected documents after their leaked spans were cut out: spans, characters cut and kept."""
+    cut = leakage.cut_leaks(table(spark, d, "documents"), p8_leaks(spark, d))
+    return cut.select("doc_id", "spans", "cut_chars", F.length("text").alias("n_chars"))
+
+
 def _mixture(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
     return mixing.mix(mixing.with_token_counts(docs), table(spark, d, "mix_targets"), total)
@@ -176,6 +182,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p8_clean": p8_clean,
+    "p8_trimmed": p8_trimmed,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
     "p9_report_corpus_size": p9_report_corpus_size,

@@ -196,7 +196,7 @@ PAIR = np.dtype([("id", "<i8"), ("cos", "<i4")])
 
 
 def forest_neighbours(
-    vectors: DataFrame, k: int = 5, least: float = 0.8, dims: int = 64, trees: int = 5, more: int = 4, candidates: int = 5120, block: int = 8192, seed: int = 11
+    vectors: DataFrame, k: int = 5, least: float = 0.8, dims: int = 64, trees: int = 5, more: int = 3, candidates: int = 5120, block: int = 8192, seed: int = 11
 ) -> DataFrame:
     """(id, nbr, cos): the k most similar other vectors with cosine >= least, best first, ties to the smaller id.
 

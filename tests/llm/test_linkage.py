@@ -203,23 +203,46 @@ def test_altered_passages(spark):
     assert got == {(i, 1) for i in (0, 1, 2, 3, 4, 7, 8, 11)}  # 8: only single words differ
 
 
-def test_ordinary_words_leak_too():
+def passages(spark, items):
+    words, usual, word = E.item_words(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", shared=30)
+    return E.Passages({r["item_id"]: list(r["ws"]) for r in words.collect()}, usual, word)
+
+
+def test_ordinary_words_leak_too(spark):
     heads, tails = ("the board of", "two nurses from", "some cooks near"), ("while page nine steps in heavy snow as minutes confirm", "until the counter read zero over that long weekend again")
     texts = [f"{h} town{i}{k} burned every sample of drug{i}{k} {t}" for i, h in enumerate(heads * 4) for k, t in enumerate(tails)]
-    p = E.Passages([*enumerate(texts), (100, texts[0]), (101, texts[0])], shared=30)
-    found = lambda text: {x[0] for x in E.leaks_in(text, p, 12)}
+    p = passages(spark, [*enumerate(texts), (100, texts[0]), (101, texts[0])])
+    found = lambda text: {x[0] for x in E.leaked(E.runs_in(text, p), 12)}
     assert found("x burned every sample of drug00 while page nine steps in heavy snow as y") == {0, 100, 101}  # one telling word
     assert found("x burned every sample of drug00 while page seven steps in heavy snow as y") == {0, 100, 101}  # and a wrong one
     assert found("x burned every sample of other while page nine steps in heavy snow as y") == set()  # of many items, or of none
     assert found("the board of town00 burned every sample of drug00") == set()  # nine words
 
 
-def test_twelve_ordinary_words_of_two_items():
+def test_twelve_ordinary_words_of_two_items(spark):
     text = "we asked for a little more time and the board of it was glad to wait"
-    p = E.Passages([(i, f"alpha{i} beta{i} {text} gamma{i} delta{i}") for i in range(4)] + [(i, f"other{i} words{i} here{i}") for i in range(4, 100)], shared=30)
-    assert not p.rare[0] & set(text.split())
-    assert {x[0] for x in E.leaks_in("x " + text + " y", p, 12)} == {0, 1, 2, 3}
-    assert {x[0] for x in E.leaks_in("x " + text.replace("time", "rope") + " y", p, 12)} == {0, 1, 2, 3}
+    p = passages(spark, [(i, f"alpha{i} beta{i} {text} gamma{i} delta{i}") for i in range(4)] + [(i, f"other{i} words{i} here{i}") for i in range(4, 100)])
+    assert set(text.split()) <= p.usual
+    found = lambda text: {x[0] for x in E.leaked(E.runs_in(text, p), 12)}
+    assert found("x " + text + " y") == {0, 1, 2, 3}
+    assert found("x " + text.replace("time", "rope") + " y") == {0, 1, 2, 3}
+
+
+def test_sets_of_items_do_not_change_the_result(spark):
+    tails = [" ".join(f"quiet{j} rope{j}{m}" for m in range(5)) for j in range(6)]
+    texts = [f"Use only the passage below to answer this. The board of town{i} burned every sample of drug{i} {tails[i // 2]} until {'one two three'.split()[i % 3]}" for i in range(12)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before it all {t} after it all") for i, t in enumerate(texts)] + [(50, tails[0] + " until one more"), (51, texts[0].replace("drug0", "else").replace("town0", "there"))], "doc_id long, text string")
+    one, cut = ({tuple(r) for r in E.find_leaks(docs, items, max_grams=n).collect()} for n in (2_000_000, 20))
+    assert one == cut and {(i, i) for i in range(12)} <= {x[:2] for x in one}
+
+
+def test_cut_leaks(spark):
+    docs = spark.createDataFrame([(1, "Kept before.\n" + PASSAGE.replace("ampoules", "<b>ampoules</b>") + "\nKept after."), (2, "nothing"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, "Another one that holds other words in all its places and is long enough")], "item_id long, text string")
+    cut = E.cut_leaks(docs, E.find_leaks(docs, items)).collect()
+    assert [(r["doc_id"], r["spans"]) for r in cut] == [(1, 1)]
+    assert cut[0]["text"].split() == "Kept before. Kept after.".split() and cut[0]["cut_chars"] >= len(PASSAGE)
 
 
 def test_leaks_without_items(spark):
