@@ -91,8 +91,9 @@ def mix(
 
     ``docs``: doc_id, source, lang, n_tokens. ``targets``: source, target_share,
     max_repeats. selection: doc_id, source, lang, n_tokens, repeats. report:
-    source, target_share, max_repeats, n_docs, source_tokens, used_tokens,
-    actual_share, target_tokens.
+    source, domain, target_share, max_repeats, n_docs, source_tokens,
+    used_tokens, actual_share, target_tokens. ``domains``: source -> domain, the
+    upper level of the tree; a source without one is a domain of its own.
 
     A source's target is spread over its languages in proportion to their
     tokens. Every leaf takes whole epochs as often as its budget holds its
@@ -131,22 +132,23 @@ def mix(
         whole = min(int(b // x["tokens"]) if x["tokens"] else 0, x["max_repeats"])
         part = b - whole * x["tokens"] if whole < x["max_repeats"] else 0.0
         plan.append((x["source"], x["language"], whole, float(part)))
-    plan = F.broadcast(spark.createDataFrame(plan, "source string, leaf_lang string, whole int, part double"))  # one row a leaf
+    plan = spark.createDataFrame(plan, "source string, leaf_lang string, whole int, part double")  # one row a leaf
     h = F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id"))
     placed = docs.join(plan, ["source", "leaf_lang"]).withColumn("h", h).withColumn("b", F.pmod(h, F.lit(buckets)))
     by_bucket = placed.groupBy("source", "leaf_lang", "b").agg(F.sum("n_tokens").alias("t"), F.first("part").alias("part"))
-    w = Window.partitionBy("source", "leaf_lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    edges = by_bucket.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).select(
-        "source", "leaf_lang", "b", "before", (F.col("before") + F.col("t") <= F.col("part")).alias("inside"), (F.col("before") < F.col("part")).alias("reached")
-    )
-    placed = placed.join(F.broadcast(edges), ["source", "leaf_lang", "b"])  # at most buckets rows a leaf
-    sure = placed.where("inside").withColumn("extra", F.lit(1))
+    w = Window.partitionBy("source", "leaf_lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows a leaf
+    by_bucket = by_bucket.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0)))
+    edges = by_bucket.where("before < part").groupBy("source", "leaf_lang").agg(F.max(F.struct("b", "before")).alias("e"))  # the last bucket a leaf reaches
+    placed = placed.join(edges.select("source", "leaf_lang", F.col("e.b").alias("edge"), F.col("e.before").alias("before")), ["source", "leaf_lang"], "left")
+    sure = placed.where("b < edge").withColumn("extra", F.lit(1))
     w2 = Window.partitionBy("source", "leaf_lang", "b").orderBy("h", "doc_id")
-    edge = placed.where("reached and not inside").withColumn("extra", (F.col("before") + F.sum("n_tokens").over(w2) - F.col("n_tokens") / 2 <= F.col("part")).cast("int"))
-    rest = placed.where("not reached").withColumn("extra", F.lit(0))
+    edge = placed.where("b = edge").withColumn("extra", (F.col("before") + F.sum("n_tokens").over(w2) - F.col("n_tokens") / 2 <= F.col("part")).cast("int"))
+    rest = placed.where("edge is null or b > edge").withColumn("extra", F.lit(0))
     cols = ["doc_id", "source", "lang", "n_tokens", (F.col("whole") + F.col("extra")).alias("repeats")]
     chosen = stash(sure.select(*cols).unionByName(edge.select(*cols)).unionByName(rest.select(*cols)).where("repeats > 0"))
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.count("*").alias("n_docs"))
+    named = F.create_map(*(F.lit(x) for kv in (domains or {"": ""}).items() for x in kv))
+    domain = F.coalesce(F.try_element_at(named, F.col("source")), F.col("source")).alias("domain")
     all_used = chosen.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("all_tokens"))
     have = docs.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     report = (
@@ -155,7 +157,7 @@ def mix(
         .join(have, "source", "left")
         .crossJoin(F.broadcast(all_used))  # one row
         .select(
-            "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"),
+            "source", domain, "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"),
             F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.round(F.coalesce("used_tokens", F.lit(0)) / F.col("all_tokens"), 6).alias("actual_share"),
             F.round(F.col("target_share") * F.lit(float(total)), 1).alias("target_tokens"),
         )

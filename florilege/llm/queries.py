@@ -140,9 +140,13 @@ def p8_trimmed(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("doc_id", "spans", "cut_chars", F.length("text").alias("n_chars"))
 
 
+#: Domains of the sources, the upper level of the mixing tree: what is written outside and what is written here.
+DOMAINS = {"abstract_feed": "literature", "preprint_text": "literature", "grant_abstract": "literature", "deep_summary": "literature", "vault": "notes", "topic_page": "notes", "review_note": "notes", "lab_log": "notes"}
+
+
 def _mixture(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    return mixing.mix(mixing.with_token_counts(docs), table(spark, d, "mix_targets"), total)
+    return mixing.mix(mixing.with_token_counts(docs), table(spark, d, "mix_targets"), total, domains=DOMAINS)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -156,12 +160,12 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report_corpus_size(spark: SparkSession, d: str) -> DataFrame:
-    """Shares reached when the mix is to hold as many tokens as the targeted sources do: small sources run short."""
+    """Shares reached when the mix is to hold as many tokens as the targeted sources do: small sources run short, and those of their domain take over first."""
     docs = mixing.with_token_counts(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
     counted = mixing.stash(docs)
     targets = table(spark, d, "mix_targets")
     total = counted.join(targets, "source", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0
-    return mixing.mix(counted, targets, float(total))[1]
+    return mixing.mix(counted, targets, float(total), domains=DOMAINS)[1]
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:

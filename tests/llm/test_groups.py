@@ -110,6 +110,16 @@ def test_mix(spark):
     assert M.mix(docs.limit(0), targets)[0].count() == 0
 
 
+def test_shortages_stay_in_the_domain(spark):
+    """short holds 1,000 tokens, twice; what it lacks of 8,000 goes to its sibling, the other domain keeps its share."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, "short").when(F.col("id") < 1500, "sibling").otherwise("other").alias("source"), F.lit("en").alias("lang"), F.lit(10).alias("n_tokens"))
+    targets = spark.createDataFrame([("short", 0.4, 2), ("sibling", 0.2, 1), ("other", 0.4, 1)], "source string, target_share double, max_repeats int")
+    used = lambda **kw: {r["source"]: r["used_tokens"] for r in M.mix(docs, targets, 20_000.0, **kw)[1].collect()}
+    assert used(domains={"short": "one", "sibling": "one"}) == {"short": 2000, "sibling": 10_000, "other": 8000}
+    flat = used()
+    assert flat["short"] == 2000 and abs(flat["sibling"] - 6000) <= 10 and abs(flat["other"] - 12_000) <= 10
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world", 5), (2, "", 6), (3, None, 7), (4, "a" * 250_000, 8)], "id long, text string, n long")
     got = {r["id"]: r["n_tokens"] for r in M.with_token_counts(df).collect()}
