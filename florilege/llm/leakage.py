@@ -256,8 +256,8 @@ def _span(text: str, first: int, last: int, word: re.Pattern) -> tuple[int, int]
     return _offset(text, first, word), max(_offset(text, first, word), _offset(text, last + 1, word)) if last + 1 < len(plain_words(text, word)) else len(text)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", least: int = 12, max_grams: int = 2_000_000) -> DataFrame:
-    """(ident, item, covered, agreeing, start, end): documents that hold a passage of a test item, and between which characters.
+def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", least: int = 12, max_grams: int = 2_000_000, spans: bool = False) -> DataFrame:
+    """(ident, item, covered, agreeing): documents that hold a passage of a test item; with ``spans`` also start and end, the characters between which it stands.
 
     Method: the items' normalised word n-grams are broadcast as a sorted set,
     every document is scanned through it in one pass without a shuffle, and each
@@ -281,7 +281,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     words = words.withColumn("lot", F.pmod(F.xxhash64(item), F.lit(lots)))
     kind = docs.schema[ident].dataType.simpleString()
     docs = docs.where(F.col(ident).isNotNull()).select(ident, text)
-    found = f"{ident} {kind}, {item} long, covered int, agreeing int, start int, end int"
+    found = f"{ident} {kind}, {item} long, covered int, agreeing int" + ", start int, end int" * spans
     columns = [c.split()[0] for c in found.split(", ")]
     out = None
     for lot in range(lots):
@@ -290,7 +290,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
 
         def scan(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             for pdf in it:
-                rows = [(i, *x[:3], *_span(t, *x[3:], word)) for i, t in zip(pdf[ident], pdf[text]) for x in leaked(runs_in(t, held.value), least)]
+                rows = [(i, *x[:3], *(_span(t, *x[3:], word) if spans else ())) for i, t in zip(pdf[ident], pdf[text]) for x in leaked(runs_in(t, held.value), least)]
                 yield pd.DataFrame(rows, columns=columns)
 
         def gather(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -298,7 +298,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
                 rows = []
                 for i, t in zip(pdf[ident], pdf[text]):
                     for r in runs_in(t, held.value):
-                        at = _span(t, r[4][0][0], r[4][-1][0], word) if r[1] >= least else (-1, -1)
+                        at = _span(t, r[4][0][0], r[4][-1][0], word) if spans and r[1] >= least else (-1, -1)
                         rows.append((i, *r[:4], np.array(r[4], "<i4").tobytes(), *at))
                 yield pd.DataFrame(rows, columns=[ident, item, "covered", "own", "wrong", "agree", "start", "end"])
 
@@ -311,7 +311,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
         agree = [[tuple(x) for x in np.frombuffer(b, "<i4").reshape(-1, 2).tolist()] for b in pdf["agree"]]
         runs = sorted(zip(pdf[item].tolist(), pdf["covered"].tolist(), pdf["own"].tolist(), pdf["wrong"].tolist(), agree), key=lambda r: (r[4][0], r[0]))
         at = {(i, g[0][0], g[-1][0]): x for i, g, *x in zip(pdf[item].tolist(), agree, pdf["start"].tolist(), pdf["end"].tolist())}
-        return pd.DataFrame([(key[0], *x[:3], *at[x[0], x[3], x[4]]) for x in leaked(runs, least)], columns=columns)
+        return pd.DataFrame([(key[0], *x[:3], *(at[x[0], x[3], x[4]] if spans else ())) for x in leaked(runs, least)], columns=columns)
 
     return out.groupBy(ident).applyInPandas(judge, found)  # the runs of one document
 
@@ -324,7 +324,7 @@ def without_leaks(docs: DataFrame, leaks: DataFrame, ident: str = "doc_id") -> D
 def cut_leaks(docs: DataFrame, leaks: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, text, spans, cut_chars): the affected documents without their leaked spans.
 
-    ``leaks``: what ``find_leaks`` gave for these documents. Overlapping spans
+    ``leaks``: what ``find_leaks`` gave for these documents, with spans. Overlapping spans
     are cut once. Only affected documents are read again, whole. Documents
     without a leak give no row.
     """

@@ -136,7 +136,8 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_trimmed(spark: SparkSession, d: str) -> DataFrame:
     """Affected documents after their leaked spans were cut out: spans, characters cut and kept."""
-    cut = leakage.cut_leaks(table(spark, d, "documents"), p8_leaks(spark, d))
+    docs = table(spark, d, "documents")
+    cut = leakage.cut_leaks(docs, leakage.find_leaks(docs, table(spark, d, "eval_items"), spans=True))
     return cut.select("doc_id", "spans", "cut_chars", F.length("text").alias("n_chars"))
 
 
