@@ -169,10 +169,20 @@ def test_all_strings_of_a_large_key_meet(spark):
     assert one and one == cut
 
 
-def test_recurring_misspelling():
-    a, b = V.person_forms("Rebecca Dabolemar"), V.person_forms("Rebecca Dabolemmar")
-    assert V.linked("person", a, b, 40, 5, 4) and V.linked("person", a, b, 400, 50, 4)
-    assert not V.linked("person", a, b, 40, 20, 4) and not V.linked("person", V.person_forms("R Dabolemar"), b, 400, 40, 4)
+def test_misspelt_surnames():
+    form = V.person_forms
+    assert V.linked("person", form("Rebecca Dabolemar"), form("Rebecca Dabolemmar")) and V.linked("person", form("R Dabolemar"), form("Dabolemmar RH"))
+    two = lambda a, b, n, m: V.linked("person", form(a), form(b), n, m)
+    assert two("Rebecca Dabolemar", "Rebecca Dablemmar", 100, 10) and two("Rebecca Dabolemar", "Rebecca Dablemmar", 1, 10)
+    assert not two("Rebecca Dabolemar", "Rebecca Dablemmar", 99, 10) and not two("R Dabolemar", "Dablemmar RH", 400, 1)
+
+
+def test_links_do_not_depend_on_the_table(spark):
+    """However often two spellings occur, they are linked as in a table of the two."""
+    two = ["Rebecca Dabolemar", "Rebecca Dabolemmar"]
+    more = [f"{g} {s}" for s in ("Dabolemar", "Dabolemmar") for g in ("Oskar", "Ulrike", "Yvonne", "Ignaz", "Kuno", "Tilda", "Wanda")]
+    pairs = lambda names: {tuple(r)[1:] for r in V.name_variants(spark.createDataFrame([("person", n) for n in names], "kind string, name string")).collect()}
+    assert tuple(two) in pairs(two) and tuple(two) in pairs(two + more)
 
 
 ITEM = "Answer the question using only the passage below. Farmers supplying Zahelvamide hid spare ampoules of rinordecine for volunteers older than 637 minutes, which puzzled friends of XIZL9 when the grant lapsed. Does it hold?"
@@ -233,14 +243,14 @@ def test_sets_of_items_do_not_change_the_result(spark):
     texts = [f"Use only the passage below to answer this. The board of town{i} burned every sample of drug{i} {tails[i // 2]} until {'one two three'.split()[i % 3]}" for i in range(12)]
     items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"before it all {t} after it all") for i, t in enumerate(texts)] + [(50, tails[0] + " until one more"), (51, texts[0].replace("drug0", "else").replace("town0", "there"))], "doc_id long, text string")
-    one, cut = ({tuple(r) for r in E.find_leaks(docs, items, max_grams=n).collect()} for n in (2_000_000, 20))
+    one, cut = ({tuple(r) for r in E.find_leaks(docs, items, max_grams=n, spans=True).collect()} for n in (2_000_000, 20))
     assert one == cut and {(i, i) for i in range(12)} <= {x[:2] for x in one}
 
 
 def test_cut_leaks(spark):
     docs = spark.createDataFrame([(1, "Kept before.\n" + PASSAGE.replace("ampoules", "<b>ampoules</b>") + "\nKept after."), (2, "nothing"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM), (2, "Another one that holds other words in all its places and is long enough")], "item_id long, text string")
-    cut = E.cut_leaks(docs, E.find_leaks(docs, items)).collect()
+    cut = E.cut_leaks(docs, E.find_leaks(docs, items, spans=True)).collect()
     assert [(r["doc_id"], r["spans"]) for r in cut] == [(1, 1)]
     assert cut[0]["text"].split() == "Kept before. Kept after.".split() and cut[0]["cut_chars"] >= len(PASSAGE)
 
