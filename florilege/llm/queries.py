@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_root, table
 from . import leakage, linkage, matching, mixing, splitting, survivor, topn, variants
 from . import vectors as V
 
@@ -95,8 +97,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     cut = sizes.withColumn("part", F.sum("n").over(w) / F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     cut = cut.where("part <= 0.67").agg(F.max("batch")).first()[0]
     late = F.coalesce(F.col("batch") > F.lit(cut or ""), F.lit(False))
-    history = linkage.link_batch(linkage.read_records(papers.where(~late)), None)
-    return linkage.first_pairs(linkage.link_batch(linkage.read_records(papers.where(late)), history))
+    path = f"{shared_root(spark)}/history-{uuid.uuid4().hex}"
+    for batch in (papers.where(~late), papers.where(late)):
+        linkage.link_batch(linkage.read_records(batch), linkage.History(spark, path))  # each finds the history on storage
+    return linkage.first_pairs(linkage.History(spark, path))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -36,27 +36,47 @@ ROWS = [
 NOISE = [row(100 + i, "2020-01-01", f"Study number {i} on gene QX{i} with compound bla{i}trin in mice and lipid matters", str(61000000 + i), day=dt.date(2018, 1, 1 + i % 28)) for i in range(60)]
 
 
-@pytest.mark.parametrize("split", [None, "2020-04-15"])
-def test_linking_in_one_and_two_batches(spark, split):
-    df = spark.createDataFrame(ROWS + NOISE, SCHEMA).withColumnRenamed("id", "id")
-    if split is None:
-        h = L.link_batch(L.read_records(df), None)
-    else:
-        h = L.link_batch(L.read_records(df.where(f"coalesce(batch, '') < '{split}'")), None)
-        h = L.link_batch(L.read_records(df.where(f"batch >= '{split}'")), h)
-    got = {(r["id_lo"], r["id_hi"]) for r in L.first_pairs(h).collect()}
-    assert got == {(1, 2), (1, 3), (1, 4), (1, 11)}
-
-
-def test_linking_nothing(spark):
+def link(spark, path, *batches, **kw):
+    for b in batches:
+        L.link_batch(L.read_records(b), L.History(spark, str(path)), **kw)  # every batch opens the history anew
+    return L.History(spark, str(path))
+
+
+def pairs_of(h):
+    return {(r["id_lo"], r["id_hi"]) for r in L.first_pairs(h).collect()}
+
+
+@pytest.mark.parametrize("small", [40, 2])
+def test_linking_in_one_and_two_batches(spark, tmp_path, small):
+    df = spark.createDataFrame(ROWS + NOISE, SCHEMA)
+    want = {(1, 2), (1, 3), (1, 4), (1, 11)}
+    assert pairs_of(link(spark, tmp_path / "a", df, small=small)) == want
+    h = link(spark, tmp_path / "b", df.where("coalesce(batch, '') < '2020-04-15'"), df.where("batch >= '2020-04-15'"), small=small)
+    assert pairs_of(h) == want and len(h.parts()) == 2
+    h.compact()
+    assert pairs_of(L.History(spark, h.path)) == want and len(h.parts()) == 1
+
+
+def test_history_is_exclusive_and_failed_batches_leave_nothing(spark, tmp_path):
+    df = spark.createDataFrame(ROWS[:4], SCHEMA)
+    h = link(spark, tmp_path, df)
+    a, b = L.History(spark, h.path), L.History(spark, h.path)
+    a.write("records", L.read_records(df))  # never committed
+    assert h.read("records").count() == 4
+    b.commit = lambda: b._put("_commits/000000000", "{}")
+    with pytest.raises(Exception):
+        b.commit()
+
+
+def test_linking_nothing(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
-    assert L.first_pairs(L.link_batch(L.read_records(df), None)).count() == 0
+    assert pairs_of(link(spark, tmp_path, df)) == set()
 
 
-def test_hot_paper(spark):
+def test_hot_paper(spark, tmp_path):
     df = spark.createDataFrame([row(i, "b", T1, "60000001" if i % 2 else None, "10.9999/a.1") for i in range(3000)], SCHEMA)
-    h = L.link_batch(L.read_records(df), None)
-    assert {r["component"] for r in h.clusters.collect()} == {0} and h.clusters.count() == 3000
+    c = link(spark, tmp_path, df).clusters()
+    assert {r["component"] for r in c.collect()} == {0} and c.count() == 3000
 
 
 @pytest.mark.parametrize(
