@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Small words that carry no content in a title.
-STOP_WORDS = ["a", "an", "the", "and", "or", "of", "in", "on", "for", "to", "with", "by", "from", "at", "as", "is", "are", "its", "via"]
-#: Verbs that mark a sentence as a finding.
-FINDING_VERBS = ["show", "found", "find", "reveal", "demonstrat", "identif", "suggest", "indicat", "reduc", "increas", "improv", "restor", "regulat", "promot", "inhibit", "mediat"]
+STOP_WORDS = ["a", "an", "the", "of", "in", "for", "and", "or", "is", "to", "by", "on", "at", "its", "with", "from", "that", "this", "not", "are", "was", "as", "it", "be", "into", "via", "but"]
+#: Words that mark a sentence as a finding.
+FINDING_WORDS = [
+    "showed", "demonstrated", "found", "identified", "reveal", "required", "increased", "decreased", "reduced", "enhanced", "suppressed", "activated", "inhibited", "suggest", "indicate", "conclude",
+    "significantly", "potently", "robustly", "unexpectedly",
+]
 
 
 def _c(c: Column | str) -> Column:
@@ -75,7 +78,7 @@ def author_line(authors: Column | str, most: int = 3) -> Column:
 
 def first_author_last(authors: Column | str) -> Column:
     """Surname of the first author: before a comma; first word if the last is initials; else the last word."""
-    n = F.trim(F.element_at(F.filter(_c(authors), lambda x: x.rlike(r"\S")), 1))
+    n = F.trim(F.get(F.filter(_c(authors), lambda x: x.rlike(r"\S")), F.lit(0)))
     w = F.split(n, r"\s+")
     last = F.element_at(w, -1)
     return F.when(n.contains(","), F.trim(F.substring_index(n, ",", 1))).when(last.rlike(r"^[A-Z]{1,4}$") & (F.size(w) > 1), F.element_at(w, 1)).otherwise(last)
@@ -91,8 +94,9 @@ def display_name(c: Column | str) -> Column:
 
 
 def content_words(c: Column | str) -> Column:
-    """Distinct words of two and more letters that are not small words."""
-    return F.filter(F.array_distinct(F.split(F.lower(_c(c)), "[^a-z]+")), lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
+    """Distinct words of two and more letters, bounded on both sides, that are not small words."""
+    words = F.split(F.lower(_c(c)), r"[^\p{L}\p{N}_]+")
+    return F.filter(F.array_distinct(words), lambda w: w.rlike("^[a-z]{2,}$") & ~w.isin(STOP_WORDS))
 
 
 def word_overlap(a: Column, b: Column) -> Column:
@@ -132,10 +136,10 @@ def word_count(c: Column | str) -> Column:
 
 
 def findings(c: Column | str, top: int = 4, least: int = 40) -> Column:
-    """The ``top`` sentences above ``least`` characters with most finding verbs, in their order in the text."""
-    s = F.filter(F.split(_c(c), r"(?<=[.!?])\s+"), lambda x: F.length(x) > least)
-    verbs = "(?i)" + "|".join(FINDING_VERBS)
-    scored = F.transform(s, lambda x, i: F.struct((-F.regexp_count(x, F.lit(verbs))).alias("k"), i.alias("i"), x.alias("s")))
+    """The ``top`` sentences above ``least`` characters with most finding words, in their order in the text."""
+    s = F.filter(F.transform(F.split(_c(c), r"(?<=[.!?])\s+"), F.trim), lambda x: F.length(x) > least)
+    hits = lambda x: F.size(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w.isin(FINDING_WORDS)))
+    scored = F.transform(s, lambda x, i: F.struct((-hits(x)).alias("k"), i.alias("i"), x.alias("s")))
     best = F.slice(F.array_sort(scored), 1, top)
     return F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
 

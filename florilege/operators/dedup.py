@@ -36,14 +36,23 @@ def registry_stats(keys: DataFrame, ident: str = "id") -> DataFrame:
 def duplicate_groups(keys: DataFrame, ident: str = "id") -> DataFrame:
     """(kind, value, n, first, last, seen) of values held by two and more rows.
 
-    Identifiers are tried in the order pmid, doi, title: ``seen`` tells that the
-    group's smallest row is in a group of an earlier kind already. Only sizes
-    and ends of groups are kept, so a group of any size is one small row.
+    Identifiers are tried in the order pmid, doi, title. ``seen``: some member is
+    in a group of an earlier kind that is not seen itself. Titles make a group
+    only where rows with and without a PubMed number share one. Membership is
+    joined by row, groups are only counted, so one of any size is one small row.
     """
-    g = keys.groupBy("kind", "value").agg(F.count_distinct(ident).alias("n"), F.min(ident).alias("first"), F.max(ident).alias("last")).where("n > 1")
-    rank = F.when(F.col("kind") == "pmid", 0).when(F.col("kind") == "doi", 1).otherwise(2)
-    w = Window.partitionBy("first")
-    return g.withColumn("seen", rank > F.min(rank).over(w))
+    keys = keys.distinct()
+    g = keys.groupBy("kind", "value").agg(F.count("*").alias("n"), F.min(ident).alias("first"), F.max(ident).alias("last")).where("n > 1")
+    members = keys.join(g, ["kind", "value"])
+    of = lambda kind: members.where(F.col("kind") == kind)
+    touched = lambda rows, ids: rows.join(ids.select(ident).distinct().withColumn("_hit", F.lit(1)), ident, "left").groupBy("kind", "value", "n", "first", "last").agg((F.count("_hit") > 0).alias("seen"))
+    numbered = of("pmid")
+    doi = touched(of("doi"), numbered)
+    told = numbered.select(ident).unionByName(of("doi").join(doi.where("not seen").select("kind", "value"), ["kind", "value"], "left_semi").select(ident))
+    has = keys.where("kind = 'pmid'").select(ident, F.lit(1).alias("_has"))
+    mixed = of("title").join(has, ident, "left").groupBy("kind", "value").agg(F.count("_has").alias("with"), F.count("*").alias("all")).where("with > 0 and with < all").select("kind", "value")
+    title = touched(of("title").join(mixed, ["kind", "value"], "left_semi"), told)
+    return numbered.select("kind", "value", "n", "first", "last", F.lit(False).alias("seen")).distinct().unionByName(doi).unionByName(title)
 
 
 def canonical_rows(df: DataFrame, group: Column, preference: list[Column], ident: str = "id") -> DataFrame:

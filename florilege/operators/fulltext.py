@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,13 @@ def postings(docs: DataFrame, ident: str, columns: list[str]) -> DataFrame:
     return long.select(ident, "column", F.explode("ts").alias("term")).groupBy(ident, "column", "term").agg(F.count("*").alias("tf"))
 
 
+def update_postings(old: DataFrame, changed: DataFrame, gone: DataFrame, ident: str, columns: list[str]) -> DataFrame:
+    """Postings after an insert or update of ``changed`` documents and the removal of ``gone`` ones; only changed documents are tokenised."""
+    ids = changed.select(ident).unionByName(gone.select(ident)).distinct()
+    fresh = postings(changed.join(gone.select(ident).distinct(), ident, "left_anti"), ident, columns)
+    return old.join(ids, ident, "left_anti").unionByName(fresh)
+
+
 def search(
     docs: DataFrame, queries: DataFrame, ident: str, weights: dict[str, float], limit: int = 20, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
@@ -36,8 +44,8 @@ def search(
     by one pattern of all terms, or, for more than MOST_ASKED terms, by a join
     with the part of the vocabulary that they begin; only document lengths are
     computed for all.
-    Prefixes above 24 characters find nothing. score = bm25 / (1 + bm25).
-    Ties go to the smaller ident. Queries without a term find nothing.
+    score = bm25 / (1 + bm25); the weight of a term that most documents hold is
+    not below 1e-6. Ties go to the smaller ident. Queries without a term find nothing.
     """
     wanted = queries.select("query", F.explode(F.array_distinct(tokens("text"))).alias("prefix"))
     need = wanted.groupBy("query").agg(F.count("*").alias("need"))
@@ -46,11 +54,12 @@ def search(
     stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
     asked = [r["prefix"] for r in wanted.select("prefix").distinct().limit(MOST_ASKED + 1).collect()]
     few = len(asked) <= MOST_ASKED
+    longest = max(map(len, asked), default=1) if few else wanted.agg(F.max(F.length("prefix"))).first()[0]
     begins = "^(?:" + "|".join(asked) + ")" if asked else "^$"
     keep = (lambda c: F.filter(tokens(c), lambda t: t.rlike(begins))) if few else tokens
     cols = F.array(*(F.struct(F.lit(x).alias("w"), keep(F.coalesce(F.col(c), F.lit(""))).alias("ts")) for c, x in weights.items()))
     words = docs.where(F.col(ident).isNotNull()).select(ident, F.inline(cols)).select(ident, "w", F.explode("ts").alias("term"))
-    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(24))), lambda i: F.substring(F.col("term"), F.lit(1), i))
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest))), lambda i: F.substring(F.col("term"), F.lit(1), i))
     if few:
         hits = words.withColumn("prefix", F.explode(heads)).join(wanted, "prefix")
     else:
@@ -58,7 +67,7 @@ def search(
     per = hits.groupBy("query", "prefix", ident).agg(F.sum("w").alias("tf"))
     df = per.groupBy("query", "prefix").agg(F.count("*").alias("df"))
     scored = per.join(df, ["query", "prefix"]).join(size, ident).crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
     out = scored.groupBy("query", ident).agg(F.sum(part).alias("bm25"), F.count("*").alias("got")).join(need, "query").where("got = need")
     out = out.select("query", ident, F.round("bm25", 6).alias("bm25"), F.round(F.col("bm25") / (1 + F.col("bm25")), 6).alias("score"))
@@ -84,7 +93,7 @@ def blend(fused: DataFrame, rerank: Column) -> DataFrame:
     return fused.withColumn("blended", F.round(w / F.col("rank") + (1 - w) * rerank, 6))
 
 
-_BREAKS = ("\n\n", ". ", "\n", " ")
+_BREAKS = (("\n\n",), (". ", ".\n", "? ", "?\n", "! ", "!\n"), ("\n",), (" ",))
 
 
 def _chunks(text: str, most: int, overlap: int, look: float) -> list[tuple[int, int]]:
@@ -94,9 +103,9 @@ def _chunks(text: str, most: int, overlap: int, look: float) -> list[tuple[int,
         if b < n:
             from_ = a + int(most * look)
             for s in _BREAKS:
-                at = text.rfind(s, from_, b)
-                if at >= from_:
-                    b = at + len(s)
+                at = max((text.rfind(m, from_, b) + len(m) for m in s if text.rfind(m, from_, b) >= 0), default=-1)
+                if at >= 0:
+                    b = at
                     break
         out.append((a, b))
         if b >= n:
@@ -122,6 +131,36 @@ def chunk_text(docs: DataFrame, ident: str, text: str, most: int = 3200, overlap
     return docs.where(F.col(ident).isNotNull()).select(ident, text).mapInPandas(run, f"{ident} {kind}, seq int, pos long, n_chars int, text string")
 
 
+def chunk_words(docs: DataFrame, ident: str, text: str, most: int = 800, overlap: int = 120, look: float = 0.7) -> DataFrame:
+    """(ident, seq, pos, n_tokens, text): pieces of at most ``most`` words, ``most - overlap`` apart.
+
+    A token is a word with the blanks before it, so tokens joined are the text. A
+    piece that is not the last is cut behind the last paragraph, else sentence,
+    else line end in its last part (from ``look``). pos is the token's place
+    times the mean length of a token. Empty and NULL texts have no piece.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            rows = []
+            for i, t in zip(p[ident], p[text]):
+                tokens_ = re.findall(r"\s*\S+|\s+$", t or "")
+                for seq, a in enumerate(range(0, max(1, len(tokens_) - overlap), most - overlap) if tokens_ else ()):
+                    piece = "".join(tokens_[a : a + most])
+                    if a + most < len(tokens_):
+                        start = int(len(piece) * look)
+                        for marks in (("\n\n",), (". ", ".\n", "? ", "?\n", "! ", "!\n"), ("\n",)):
+                            at = max((piece.rfind(m, start) + len(m) for m in marks if piece.rfind(m, start) >= 0), default=-1)
+                            if at >= 0:
+                                piece = piece[:at]
+                                break
+                    rows.append((i, seq, int(a * len(t) / len(tokens_)), len(tokens_[a : a + most]), piece))
+            yield pd.DataFrame(rows, columns=[ident, "seq", "pos", "n_tokens", "text"])
+
+    kind = docs.schema[ident].dataType.simpleString()
+    return docs.where(F.col(ident).isNotNull()).select(ident, text).mapInPandas(run, f"{ident} {kind}, seq int, pos long, n_tokens int, text string")
+
+
 def snippets(docs: DataFrame, text: str, terms: list[str], most: int = 500) -> DataFrame:
     """Adds line (from 1) and snippet: from one line above the line with most query terms (the first of equals) to two below, cut at ``most``."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")

@@ -46,7 +46,7 @@ def suggestions(asked: DataFrame, known: DataFrame, column: str, most: int = 3,
     By the pigeonhole rule a name within d edits shares one of its d + 1 equal
     parts with the other, shifted by at most d: asked names are cut into parts
     and met with the substrings of known ones, so all pairs are found without
-    comparing everything. Names up to d letters long are compared as they are.
+    comparing everything. Names of up to d letters are not asked for.
     """
     parts = most + 1
     step = F.floor(F.length("asked") / parts).cast("int")
@@ -63,6 +63,59 @@ def suggestions(asked: DataFrame, known: DataFrame, column: str, most: int = 3,
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+#: Small words that do not count when a short title is told from a long one.
+SHORT_STOP_WORDS = ["a", "an", "the", "of", "in", "for", "and", "or", "is", "to", "by", "on", "at", "its", "with", "from", "that", "this", "not"]
+
+
+def _once(parts: dict[str, Column], use) -> Column:
+    """``use`` of a row of values that are computed once, however often its nested functions look at them."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in parts.items()))), use), F.lit(0))
+
+
+def _in_body(s: Column) -> Column:
+    """Does the text b hold the title t, or a window of it four fifths of the title's words ws of three and more letters?
+
+    Windows begin every 50 characters and are three titles long, 300 at least.
+    Titles of fewer than three such words must stand there whole.
+    """
+    starts = F.when(F.length(s["b"]) > 50, F.sequence(F.lit(0), F.length(s["b"]) - 51, F.lit(50))).otherwise(F.array().cast("array<int>"))
+    near = F.exists(starts, lambda i: F.size(F.filter(s["ws"], lambda w: F.substring(s["b"], i + 1, s["width"]).contains(w))) >= s["need"])
+    return (s["t"] != "") & (s["b"].contains(s["t"]) | ((F.size(s["ws"]) >= 3) & near))
+
+
+def confirmed(title: Column, authors: Column, text: Column) -> Column:
+    """Is the text that of the paper? Its title must stand in it; one of fewer than six content words needs one of the first five authors too."""
+    one = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    t, b = F.regexp_replace(F.trim(one(title)), r"\.+$", ""), one(text)
+    content = F.filter(F.regexp_extract_all(t, F.lit(r"\b([a-z]{2,})\b"), 1), lambda w: ~w.isin(SHORT_STOP_WORDS))
+    last = F.transform(F.filter(F.slice(authors, 1, 5), lambda a: a.isNotNull()), lambda a: F.regexp_replace(F.lower(F.element_at(F.split(F.trim(a), r"\s+"), -1)), r"\.+$", ""))
+    words = F.regexp_extract_all(t, F.lit("([a-z]{3,})"), 1)
+    parts = {"t": t, "b": b, "ws": words, "width": F.greatest(F.length(t) * 3, F.lit(300)), "need": F.floor(F.size(words) * 0.8).cast("int"), "n": F.size(content), "last": last}
+    named = lambda s: F.coalesce(F.exists(s["last"], lambda x: (F.length(x) >= 3) & s["b"].contains(x)), F.lit(False))
+    return F.coalesce(_once(parts, lambda s: _in_body(s) & ((s["n"] >= 6) | named(s))), F.lit(False))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, ident: str, other: str, words: str, least: float) -> DataFrame:
+    """(ident, other, overlap): rows whose word sets share at least ``least`` of the larger set.
+
+    Prefix filter: in an order of words from rare to common, two such sets have
+    a word in common among the first n - ceil(least * n) + 1 of each, so only
+    rows that share one of these meet. Empty and NULL sets are like nothing.
+    """
+    side = lambda df, i, n: df.select(F.lit(n).alias("side"), F.col(i).cast("string").alias("i"), F.array_distinct(words).alias("ws")).where(F.size("ws") > 0)
+    both = side(left, ident, 0).unionByName(side(right, other, 1))
+    df = both.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    told = both.select("side", "i", F.explode("ws").alias("w")).join(df, "w").groupBy("side", "i").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    need = F.size("ws") - F.ceil(F.size("ws") * least - 1e-9) + 1
+    first = told.select("side", "i", F.transform("ws", lambda x: x["w"]).alias("ws"), F.explode(F.slice("ws", 1, need.cast("int"))).alias("k")).select("side", "i", "ws", "k.w")
+    a = first.where("side = 0").select(F.col("i").alias("a"), F.col("ws").alias("x"), "w")
+    b = first.where("side = 1").select(F.col("i").alias("b"), F.col("ws").alias("y"), "w")
+    share = F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))
+    hit = a.join(b, "w").select("a", "b", share.alias("overlap")).where(F.col("overlap") >= least - 1e-12).distinct()
+    kind = lambda df, i: df.schema[i].dataType
+    return hit.select(F.col("a").cast(kind(left, ident)).alias(ident), F.col("b").cast(kind(right, other)).alias(other), "overlap")
+
+
 def numbered_twins(df: DataFrame, name: str, order: str) -> DataFrame:
     """Adds unique_name: the first row of a name keeps it, later ones get '-2', '-3' and so on."""
     r = F.row_number().over(Window.partitionBy(name).orderBy(order))

@@ -45,6 +45,7 @@ class StagedTable:
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+        self.seen = int((self.versions() or ["-1"])[-1])
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -53,14 +54,23 @@ class StagedTable:
         return fs, path
 
     def versions(self) -> list[str]:
-        """Committed versions, oldest first."""
+        """Numbers of the committed versions, oldest first."""
         fs, path = self._fs()
         log = path(f"{self.root}/_commits")
         return sorted(s.getPath().getName() for s in fs.listStatus(log)) if fs.exists(log) else []
 
+    def _folder(self, version: str) -> str:
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.root}/_commits/{version}"))
+        try:
+            return f"{self.root}/{self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+        finally:
+            stream.close()
+
     def read(self) -> DataFrame | None:
         done = self.versions()
-        return self.spark.read.parquet(f"{self.root}/{done[-1].split('-', 1)[1]}") if done else None
+        self.seen = int(done[-1]) if done else -1
+        return self.spark.read.parquet(self._folder(done[-1])) if done else None
 
     def stage(self, df: DataFrame) -> str:
         name = uuid.uuid4().hex
@@ -68,12 +78,17 @@ class StagedTable:
         return name
 
     def commit(self, name: str) -> None:
+        """Makes a staged version the next after the one last read; fails if another writer has made it meanwhile."""
         fs, path = self._fs()
-        done = self.versions()
-        n = int(done[-1].split("-", 1)[0]) + 1 if done else 0
-        fs.create(path(f"{self.root}/_commits/{n:012d}-{name}"), False).close()
+        out = fs.create(path(f"{self.root}/_commits/{self.seen + 1:012d}"), False)  # one file a number: the second writer fails
+        out.write(bytearray(name.encode()))
+        out.close()
+        self.seen += 1
+        if int(self.versions()[-1]) != self.seen:  # others went on and have cleared this number
+            fs.delete(path(f"{self.root}/_commits/{self.seen:012d}"), False)
+            raise RuntimeError("the table has newer versions")
         for old in self.versions()[: -self.keep]:
-            drop_path(self.spark, f"{self.root}/{old.split('-', 1)[1]}")
+            drop_path(self.spark, self._folder(old))
             fs.delete(path(f"{self.root}/_commits/{old}"), False)
 
     def publish(self, df: DataFrame, smallest: float = 0.5, guard_from: int = 100) -> int:

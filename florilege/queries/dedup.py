@@ -189,8 +189,13 @@ ORACLE = {
           then list_extract(regexp_split_to_array(trim(a[1]), '\s+'), 1) else list_extract(regexp_split_to_array(trim(a[1]), '\s+'), -1) end as first_last, n from a""",
     "dup_registry_stats": f"""select kind, count(*) as "values", count(*) filter (n = 1) as unique_values, count(*) filter (n > 1) as shared_values from
         (select kind, value, count(distinct id) as n from {KEYS} where value is not null group by all) group by kind""",
-    "dup_groups": f"""with g as (select kind, value, count(distinct id) as n, min(id) as first, max(id) as last, case kind when 'pmid' then 0 when 'doi' then 1 else 2 end as k from {KEYS} where value is not null group by kind, value)
-        select kind, value, n, first, last, k > min(k) over (partition by first) as seen from g where n > 1""",
+    "dup_groups": f"""with k as (select distinct kind, value, id from {KEYS} where value is not null), g as (select kind, value, count(*) as n, min(id) as first, max(id) as last from k group by kind, value having count(*) > 1),
+        m as (select k.* from k join g using (kind, value)), p as (select distinct id from m where kind = 'pmid'),
+        d as (select value, bool_or(id in (select id from p)) as seen from m where kind = 'doi' group by value),
+        told as (select id from p union select id from m join d using (value) where kind = 'doi' and not seen),
+        t as (select value, bool_or(id in (select id from told)) as seen from m where kind = 'title' group by value
+          having count(*) filter (id in (select id from k where kind = 'pmid')) between 1 and count(*) - 1)
+        select g.*, false as seen from g where kind = 'pmid' union all select g.*, seen from g join d using (value) where kind = 'doi' union all select g.*, seen from g join t using (value) where kind = 'title'""",
     "canonical_pick": rf"""with r as (select {DOI} as g, id, (case when regexp_matches(full_text_summary, '\S') then 1 else 0 end) as a, (case when regexp_matches(pmid, '\S') then 1 else 0 end) as b, (case when regexp_matches(abstract, '\S') then 1 else 0 end) as c,
           coalesce(len(authors), 0) as e, coalesce(length(title), 0) as f from digest_papers), o as (select *, row_number() over (partition by g order by a desc, b desc, c desc, e desc, f desc, id) as rn, count(*) over (partition by g) as n from r where g is not null)
         select x.g as "group", x.id as kept, x.n, y.id as runner_up, (case when x.a <> y.a then 1 when x.b <> y.b then 2 when x.c <> y.c then 3 when x.e <> y.e then 4 when x.f <> y.f then 5 else 0 end)::int as decided_by

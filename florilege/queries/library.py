@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import dedup as D
 from ..operators import matching as M
 from ..operators import neighbours as N
-from ..session import table
+from ..session import stash, table
 from .dedup import DOI, KEYS, PMID, TITLE
 from .graph import NEAR
 
@@ -37,11 +37,8 @@ def heading_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", P.heading_title("text").alias("title")).where("title is not null")
 
 
-SHORT = [(1, "Proceedings in ", "Proc"), (2, "Frontiers of ", "Front"), (3, "International Journal of ", "Int J"), (4, "Annals of ", "Ann"), (5, "Journal of ", "J"), (6, "Archives of ", "Arch")]
-
-
 def short_journals(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.createDataFrame(SHORT, "ord int, prefix string, short string")
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(P.SHORT_JOURNALS)], "ord int, prefix string, short string")
     df = table(spark, d, "digest_papers").where(F.col("journal").isNotNull()).groupBy("journal").agg(F.count("*").alias("n"))
     return M.first_prefix(df, "journal", p).select("journal", "short", "n")
 
@@ -87,12 +84,17 @@ def neighbor_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def two_hop(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours of the five nearest that are not among the ten nearest themselves (over query vectors)."""
+    """Neighbours of the five nearest that are not among the ten nearest themselves.
+
+    Query vectors (ids divisible by 20) are compared with all vectors, and so
+    are, as the next stated query set, the vectors they lead to.
+    """
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0")
-    n = N.nearest(q, q, "vec_id", "embedding", 10)
-    hop = n.where("rank <= 5").select("query", F.col("vec_id").alias("via")).join(n.select(F.col("query").alias("via"), "vec_id", "sim"), "via").where("query <> vec_id")
-    return hop.join(n.select("query", "vec_id"), ["query", "vec_id"], "left_anti").groupBy("query", "vec_id").agg(F.max("sim").alias("sim"), F.count("*").alias("paths"))
+    near = stash(N.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10))
+    first = near.where("rank <= 5").select("query", F.col("vec_id").alias("via"))
+    onward = N.nearest(e, e.join(first.select(F.col("via").alias("vec_id")).distinct(), "vec_id", "left_semi"), "vec_id", "embedding", 10)
+    hop = first.join(onward.select(F.col("query").alias("via"), "vec_id", "sim"), "via").where("query <> vec_id")
+    return hop.join(near.select("query", "vec_id"), ["query", "vec_id"], "left_anti").groupBy("query", "vec_id").agg(F.max("sim").alias("sim"), F.count("*").alias("paths"))
 
 
 def summary_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -115,15 +117,20 @@ LAST = r"""case when contains(a[1], ',') then trim(split_part(trim(a[1]), ',', 1
 A = r"select *, list_filter(authors, lambda x: regexp_matches(x, '\S')) as a from papers"
 BARE = "regexp_replace(lower(title), '[^a-z0-9]', '', 'g')"
 ORACLE = {
-    "suspicious_titles": "select id, coalesce(length(title), 0)::bigint as n_chars from digest_papers where length(trim(coalesce(title, ''))) < 15 or regexp_matches(trim(title), '(?i)^(?:" + "|".join(P.JUNK_TITLES) + r")\b') or contains(title, 'GLYPH')",
+    "suspicious_titles": r"""select id, coalesce(length(title), 0)::bigint as n_chars from digest_papers where length(trim(coalesce(title, ''))) < 15 or contains(title, 'GLYPH') or regexp_matches(trim(title),
+        '(?i)^(research\s+article|original\s+article|review\s+article|techniques\s+and\s+resources|basic\s+science|brief\s+communication|short\s+communication|letter\s+to\s+the\s+editor|editorial|commentary|perspective|open\s+access|clinical\s*[-–]\s*|glyph|\*?for\s+correspondence|https?://|doi:)')""",
     "sniffed_dois": r"select * from (select doc_id, nullif(regexp_replace(regexp_extract(substr(text, 1, 5000), '(10\.\d{4,}/[^\s]+)', 1), '[.,;)]+$', ''), '') as doi from documents) where doi is not null",
-    "file_names": rf"""with n as (select id, concat_ws('-', regexp_replace(coalesce({LAST}, 'Unknown'), '[^A-Za-z]', '', 'g'), coalesce(year(pub_date)::varchar, '0000'),
-        nullif(array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9\s]', '', 'g')), '\s+'), lambda w: w <> '' and not list_contains([{', '.join(f"'{w}'" for w in X.STOP_WORDS)}], w))[1:6], '-'), '')) as name from ({A}))
+    "file_names": rf"""with n as (select id, concat_ws('-', nullif(regexp_replace({LAST}, '[^\p{{L}}]', '', 'g'), ''), year(pub_date)::varchar,
+        nullif(substr(array_to_string(list_filter(regexp_extract_all(coalesce(title, ''), '[a-zA-Z0-9]+'), lambda w: not list_contains(['a', 'an', 'the', 'of', 'in', 'for', 'and', 'or', 'is', 'to', 'by', 'on', 'at', 'with', 'from', 'that', 'this', 'are'], lower(w)))[1:6], '_'), 1, 50), '')) as name from ({A}))
         select id, name, case when row_number() over (partition by name order by id) > 1 then name || '-' || row_number() over (partition by name order by id) else name end as unique_name from n""",
     "citations": rf"""select id, concat_ws(', ', case when len(authors) > 2 then l || ' et al.' else l end, year(pub_date)::varchar, case when regexp_matches(journal, '\S') then journal end) as citation from (select *, {LAST} as l from ({A}))""",
     "heading_titles": r"select * from (select doc_id, nullif(trim(regexp_extract(text, '(?m)^##?[ \t]+([^\r\n]+)', 1)), '') as title from documents) where title is not null",
-    "short_journals": f"""with p(ord, prefix, short) as (values {', '.join(f"({a}, '{b}', '{c}')" for a, b, c in SHORT)}), j as (select journal, count(*) as n from digest_papers where journal is not null group by journal)
-        select journal, coalesce(arg_min(short, ord), array_to_string(string_split(journal, ' ')[1:3], ' ')) as short, any_value(n) as n from j left join p on starts_with(lower(journal), lower(prefix)) group by journal""",
+    "short_journals": """with p(ord, prefix, short) as (values (0, 'cell metabolism', 'Cell Metab'), (1, 'the journal of clinical investigation', 'JCI'), (2, 'journal of clinical investigation', 'JCI'), (3, 'nature communications', 'Nat Commun'), (4, 'nature metabolism', 'Nat Metab'),
+        (5, 'cell reports', 'Cell Rep'), (6, 'endocrinology', 'Endocrinology'), (7, 'scientific reports', 'Sci Rep'), (8, 'diabetes', 'Diabetes'), (9, 'obesity', 'Obesity'), (10, 'molecular metabolism', 'Mol Metab'), (11, 'nutrients', 'Nutrients'), (12, 'physiology & behavior', 'Physiol Behav'),
+        (13, 'annual review of nutrition', 'Annu Rev Nutr'), (14, 'proceedings of the national academy of sciences', 'PNAS'), (15, 'the journal of neuroscience', 'J Neurosci'), (16, 'journal of neuroscience', 'J Neurosci'), (17, 'neuropharmacology', 'Neuropharmacol'),
+        (18, 'american journal of physiology', 'Am J Physiol'), (19, 'metabolism', 'Metabolism'), (20, 'plos one', 'PLoS ONE'), (21, 'elife', 'eLife'), (22, 'nature', 'Nature'), (23, 'cell', 'Cell'), (24, 'nature medicine', 'Nat Med'), (25, 'science', 'Science'), (26, 'appetite', 'Appetite'), (27, 'chemical senses', 'Chem Senses')),
+        j as (select journal, count(*) as n from digest_papers where journal is not null group by journal)
+        select journal, coalesce(arg_min(short, ord), array_to_string(string_split(journal, ' ')[1:3], ' ')) as short, any_value(n) as n from j left join p on starts_with(lower(journal), prefix) group by journal""",
     "journal_suggestions": """with p as (select distinct journal from papers where journal is not null), e as (select distinct secondary_title as asked from endnote_records where secondary_title is not null and secondary_title not in (select journal from p))
         select * from (select asked, journal, levenshtein(asked, journal) as distance, (row_number() over (partition by asked order by levenshtein(asked, journal), journal))::int as rank from e, p where levenshtein(asked, journal) <= 3 and length(asked) >= 4) where rank <= 5""",
     "cascade_lookup": f"""with l as (select id, {PMID} as k0, {DOI} as k1, nullif({BARE}, '') as k2, concat_ws('|', substr({BARE}, 1, 30), lower(journal)) as k3 from digest_papers),
@@ -139,8 +146,10 @@ ORACLE = {
         old as (select kind, value, min(id) as first from k where batch < last group by all), m as (select k.id, kind, first, case kind when 'pmid' then 0 when 'doi' then 1 else 2 end as r from k join old using (kind, value) where batch = last)
         select id, (min(row(r, kind, first)))[2] as kind, (min(row(r, kind, first)))[3] as first from m group by id""",
     "neighbor_stats": f"with {NEAR}, c as (select query, count(*) as n from r where sim >= 0.2 and rank <= 30 group by query) select count(*) as queries, min(n) as least, quantile_cont(n, 0.5) as median, round(avg(n), 4) as mean, max(n) as most from c",
-    "two_hop": f"""with {NEAR}, n as (select * from (select query, vec_id, sim, row_number() over (partition by query order by sim desc, vec_id) as rank from s where vec_id % 20 = 0) where rank <= 10),
-        h as (select a.query, b.vec_id, b.sim from n a join n b on a.vec_id = b.query where a.rank <= 5 and a.query <> b.vec_id)
+    "two_hop": f"""with {NEAR}, n as (select query, vec_id, sim, rank from r where rank <= 10), v as (select distinct vec_id as via from n where rank <= 5),
+        s2 as (select a.vec_id as via, b.vec_id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) as sim from u a join v on a.vec_id = via, u b where a.vec_id <> b.vec_id),
+        n2 as (select * from (select *, row_number() over (partition by via order by sim desc, vec_id) as rank from s2) where rank <= 10),
+        h as (select a.query, b.vec_id, b.sim from n a join n2 b on a.vec_id = b.via where a.rank <= 5 and a.query <> b.vec_id)
         select query, vec_id, max(sim) as sim, count(*) as paths from h where (query, vec_id) not in (select (query, vec_id) from n) group by all""",
     "summary_findings": r"""select id, (unnest(generate_series(0, len(f) - 1)))::int as pos, unnest(f) as finding from (select id, from_json(json_extract(regexp_extract(full_summary, '(?s)(\{.*\})', 1), '$.findings'), '["VARCHAR"]') as f from papers where full_summary is not null)
         where len(f) > 0""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import fulltext as T
+from ..operators import matching as M
 from ..session import table
 from ..sources import records as R
 from ..sources import vault as V
@@ -80,12 +81,10 @@ def title_in_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Library and export titles that share a telling word (with a digit), by shared content words."""
-    code = lambda c: F.array_distinct(F.filter(T.tokens(c), lambda w: w.rlike("[a-z]") & w.rlike("[0-9]")))
-    p = table(spark, d, "papers").select("id", X.content_words("title").alias("pw"), F.explode(code("title")).alias("k"))
-    e = table(spark, d, "endnote_records").select("rec_no", X.content_words("title").alias("ew"), F.explode(code("title")).alias("k"))
-    j = p.join(e, "k").select("id", "rec_no", F.round(X.word_overlap(F.col("pw"), F.col("ew")), 6).alias("sim")).distinct()
-    return j.where("sim >= 0.6")
+    """Library and export titles that share at least 0.6 of the content words of the longer one."""
+    p = table(spark, d, "papers").select("id", X.content_words("title").alias("ws"))
+    e = table(spark, d, "endnote_records").select(F.col("rec_no"), X.content_words("title").alias("ws"))
+    return M.similar_sets(p, e, "id", "rec_no", "ws", 0.6).select("id", "rec_no", F.round("overlap", 6).alias("sim"))
 
 
 def findings_from_text(spark: SparkSession, d: str) -> DataFrame:
@@ -161,8 +160,8 @@ BM25 = f"""with q(query, text) as (values {', '.join(f"({i}, '{t}')" for i, t in
   want as (select query, unnest(list_distinct({TOK.format('text')})) as prefix from q), need as (select query, count(*) as need from want group by query),
   size as (select doc_id, len({TOK.format("concat_ws(' ', text, journal)")}) as len from documents where doc_id is not null), stats as (select count(*) as n, avg(len) as avglen from size),
   words as (select doc_id, unnest({TOK.format("coalesce(text, '')")}) as term, 1.0 as w from documents union all select doc_id, unnest({TOK.format("coalesce(journal, '')")}), 2.0 from documents),
-  per as (select query, prefix, doc_id, sum(w)::double as tf from words join want on starts_with(term, prefix) and length(prefix) <= 24 group by all), df as (select query, prefix, count(*) as df from per group by all),
-  part as (select query, doc_id, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avglen)) as x from per join df using (query, prefix) join size using (doc_id), stats),
+  per as (select query, prefix, doc_id, sum(w)::double as tf from words join want on starts_with(term, prefix) group by all), df as (select query, prefix, count(*) as df from per group by all),
+  part as (select query, doc_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avglen)) as x from per join df using (query, prefix) join size using (doc_id), stats),
   hit as (select query, doc_id, round(sum(x), 6) as bm25, sum(x) as raw, count(*) as got from part group by all),
   bm as (select query, doc_id, bm25, round(raw / (1 + raw), 6) as score, (row_number() over (partition by query order by bm25 desc, doc_id))::int as rank from hit join need using (query) where got = need)
 """
@@ -171,9 +170,9 @@ RRF = BM25 + f""", f as (select query, {TOK.format('text')}[1] as w from q), new
   lists as (select query, doc_id, rank, 2.0 as weight from bm where rank <= 20 union all select query, doc_id, rank, 1.0 from newest where rank <= 20),
   fused as (select query, doc_id, round(sum(weight / (60 + rank)) + case when min(rank) = 1 then 0.05 when min(rank) <= 3 then 0.02 else 0 end, 6)::double as score from lists group by all)
   select * from (select query, doc_id, score, (row_number() over (partition by query order by score desc, doc_id))::int as rank from fused) where rank <= 40"""
-WORDS = "list_filter(list_distinct(regexp_split_to_array(lower(title), '[^a-z]+')), lambda w: length(w) >= 2 and not list_contains([" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "], w))"
+WORDS = r"""list_filter(list_distinct(regexp_split_to_array(lower(title), '[^\p{L}\p{N}_]+')), lambda w: regexp_full_match(w, '[a-z]{2,}') and not list_contains(['a', 'an', 'the', 'of', 'in', 'for', 'and', 'or', 'is', 'to', 'by', 'on', 'at', 'its', 'with', 'from', 'that', 'this', 'not',
+  'are', 'was', 'as', 'it', 'be', 'into', 'via', 'but'], w))"""
 PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace(full_text_summary, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"
-CODES = f"list_filter(list_distinct({TOK.format('title')}), lambda w: regexp_matches(w, '[a-z]') and regexp_matches(w, '[0-9]'))"
 ORACLE = {
     "bm25_search": BM25 + " select query, doc_id, bm25, score, rank from bm where rank <= 20",
     "rrf_fusion": RRF,
@@ -181,8 +180,8 @@ ORACLE = {
     + """, g as (select query, max(score) filter (rank = 1) as first, coalesce(max(score) filter (rank = 2), 0.0)::double as second, count(*) filter (rank <= 20) as hits from bm group by query)
        select *, first >= 0.85 and round(first - second, 6) >= 0.15 as strong from g""",
     "title_in_body": f"select id, doc_id from papers, documents where len({TOK.format('title')}) >= 3 and contains(lower(text), lower(title))",
-    "title_similarity": f"""with p as (select id, {WORDS} as pw, unnest({CODES}) as k from papers), e as (select rec_no, {WORDS} as ew, unnest({CODES}) as k from endnote_records)
-        select * from (select distinct id, rec_no, round(coalesce(len(list_intersect(pw, ew)) / nullif(greatest(len(pw), len(ew)), 0), 0.0), 6) as sim from p join e using (k)) where sim >= 0.6""",
+    "title_similarity": f"""with p as (select id, {WORDS} as pw from papers), e as (select rec_no, {WORDS} as ew from endnote_records)
+        select id, rec_no, round(len(list_intersect(pw, ew)) / greatest(len(pw), len(ew)), 6) as sim from p, e where len(pw) > 0 and len(ew) > 0 and len(list_intersect(pw, ew)) / greatest(len(pw), len(ew)) >= 0.6""",
     "html_text": rf"select id, t as text, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''))::bigint as words from (select id, {PLAIN} as t from papers where full_text_summary is not null)",
     "doc_lookup": """select key, min(doc_id) as doc_id, count(*) as matches from (select doc_id, substr(hash, 1, 6) as key from documents where hash is not null)
         where key in (select substr(hash, 1, 6) from documents where doc_id % 20 = 0) group by key""",

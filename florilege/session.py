@@ -56,12 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The run's own folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (local tests) a temporary folder is taken.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset on
+    a local master (tests) a temporary folder is taken. On a cluster such a
+    folder would be another one on every machine, so that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
             spark.sparkContext.setCheckpointDir(base)

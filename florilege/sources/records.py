@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.papers import initial_dot
+
 #: Months as they are written in records.
 MONTHS = {m: f"{i + 1:02d}" for i, m in enumerate(["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"])}
 
@@ -91,6 +93,16 @@ def read_xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return raw.select(F.concat(body, F.lit(f"</{tag}>")).alias("xml")).where(F.col("xml") != f"</{tag}>")
 
 
+def author_name(xml: Column) -> Column:
+    """Name in one ``<Author>`` element: fore name and last name, else the collective name, else NULL.
+
+    A fore name that ends in a single letter gets a dot.
+    """
+    part = lambda tag: F.nullif(F.trim(F.regexp_extract(xml, rf"(?s)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
+    fore = initial_dot(part("ForeName"))
+    return F.coalesce(F.when(part("LastName").isNotNull(), F.concat_ws(" ", fore, part("LastName"))), part("CollectiveName"))
+
+
 def parse_pubmed_xml(df: DataFrame, xml: str) -> DataFrame:
     """pmid, title, authors, journal, pub_date, doi, abstract, mesh of one PubmedArticle per row.
 
@@ -100,8 +112,7 @@ def parse_pubmed_xml(df: DataFrame, xml: str) -> DataFrame:
     """
     x = F.col(xml)
     s = lambda p: F.nullif(F.trim(F.xpath_string(x, F.lit(p))), F.lit(""))
-    names = F.zip_with(F.xpath(x, F.lit("//AuthorList/Author/LastName/text()")), F.xpath(x, F.lit("//AuthorList/Author/Initials/text()")), lambda a, b: F.concat_ws(" ", a, b))
-    group = F.xpath(x, F.lit("//AuthorList/Author/CollectiveName/text()"))
+    people = F.regexp_extract_all(x, F.lit(r"(?s)(<Author[\s>].*?</Author>)"), 1)
     month = F.lower(F.substring(s("//JournalIssue/PubDate/Month"), 1, 3))
     number = F.when(month.rlike(r"^\d+$"), F.lpad(month, 2, "0"))
     for k, v in MONTHS.items():
@@ -112,7 +123,7 @@ def parse_pubmed_xml(df: DataFrame, xml: str) -> DataFrame:
     label = lambda p: F.nullif(F.regexp_extract(p, r'Label="([^"]+)"', 1), F.lit(""))
     text = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", ""), r"\s+", " "))
     out = df.select(
-        s("//MedlineCitation/PMID").alias("pmid"), s("//ArticleTitle").alias("title"), F.concat(names, group).alias("authors"), s("//Journal/Title").alias("journal"), date.alias("pub_date"),
+        s("//MedlineCitation/PMID").alias("pmid"), s("//ArticleTitle").alias("title"), F.array_compact(F.transform(people, author_name)).alias("authors"), s("//Journal/Title").alias("journal"), date.alias("pub_date"),
         s("//ArticleIdList/ArticleId[@IdType='doi']").alias("doi"), F.nullif(F.array_join(F.transform(parts, lambda p: F.concat_ws(": ", label(p), text(p))), " "), F.lit("")).alias("abstract"),
         F.xpath(x, F.lit("//MeshHeadingList/MeshHeading/DescriptorName/text()")).alias("mesh"),
     )

@@ -92,6 +92,17 @@ def test_staged_table(spark, tmp_path):
     for n in (150, 160, 170):
         t.publish(spark.range(n).toDF("id"))
     assert t.read().count() == 170 and len(t.versions()) == 2
+    a, b = (K.StagedTable(spark, f"file://{tmp_path}/t") for _ in "ab")
+    a.publish(spark.range(180).toDF("id"))
+    with pytest.raises(Exception):  # b has not read a's version: one of two writers fails
+        b.commit(b.stage(spark.range(190).toDF("id")))
+    assert b.read().count() == 180
+    for n in (181, 182, 183):
+        a.publish(spark.range(n).toDF("id"))
+    b.seen = 1  # a number that was cleared
+    with pytest.raises(Exception):
+        b.commit(b.stage(spark.range(190).toDF("id")))
+    assert a.read().count() == 183
 
 
 def test_search_by_hand(spark):

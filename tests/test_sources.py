@@ -40,7 +40,7 @@ def test_ris_round_trip(spark, tmp_path):
 
 
 PUBMED = """<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>11</PMID><Article><Journal><JournalIssue><PubDate><Year>2020</Year><Month>Mar</Month></PubDate></JournalIssue><Title>J</Title></Journal>
-<ArticleTitle>On things</ArticleTitle><Abstract><AbstractText Label="AIMS">To <i>see</i>.</AbstractText><AbstractText>Then more.</AbstractText></Abstract><AuthorList><Author><LastName>Doe</LastName><Initials>J</Initials></Author></AuthorList></Article></MedlineCitation></PubmedArticle>
+<ArticleTitle>On things</ArticleTitle><Abstract><AbstractText Label="AIMS">To <i>see</i>.</AbstractText><AbstractText>Then more.</AbstractText></Abstract><AuthorList><Author><LastName>Plato</LastName></Author><Author><CollectiveName>A group</CollectiveName></Author><Author ValidYN="Y"><LastName>Doe</LastName><ForeName>Jane A</ForeName><Initials>JA</Initials></Author></AuthorList></Article></MedlineCitation></PubmedArticle>
 <PubmedArticle><MedlineCitation><PMID>12</PMID></MedlineCitation></PubmedArticle></PubmedArticleSet>"""
 
 
@@ -49,7 +49,7 @@ def test_pubmed(spark, tmp_path):
     got = R.parse_pubmed_xml(R.read_xml_records(spark, str(tmp_path / "p.xml"), "PubmedArticle"), "xml").collect()
     assert len(got) == 1
     r = got[0]
-    assert (r["pmid"], r["title"], r["authors"], str(r["pub_date"]), r["abstract"]) == ("11", "On things", ["Doe J"], "2020-03-01", "AIMS: To see. Then more.")
+    assert (r["pmid"], r["title"], r["authors"], str(r["pub_date"]), r["abstract"]) == ("11", "On things", ["Plato", "A group", "Jane A. Doe"], "2020-03-01", "AIMS: To see. Then more.")
 
 
 def test_endnote(spark):
