@@ -36,6 +36,35 @@ def newest(df: DataFrame, order: str, ident: str, keep: int = 1000) -> DataFrame
     return df.orderBy(F.desc_nulls_last(order), ident).limit(keep)
 
 
+def insert_new(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new`` whose key ``base`` does not hold, one a key: what an insert that may be repeated still has to add."""
+    return new.where(F.col(key).isNotNull()).dropDuplicates([key]).join(base.select(key), key, "left_anti")
+
+
+def check_dimension(stored: DataFrame, vector: str, dims: int, acknowledged: bool = False) -> bool:
+    """Must a vector table be made anew for vectors of ``dims``? Refuses where that would drop vectors, unless acknowledged."""
+    other = stored.where(F.size(vector) != dims).limit(1).count() > 0
+    if other and not acknowledged:
+        raise ValueError(f"stored vectors do not have {dims} dimensions")
+    return other
+
+
+def stale_outputs(existing: DataFrame, active: DataFrame, name: str) -> DataFrame:
+    """Names of outputs that no active item has any more."""
+    return existing.select(name).distinct().join(active.select(name).distinct(), name, "left_anti")
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Adds events to a run report, JSON lines in a folder; what is there, broken or not, stays as it is."""
+    events.write.mode("append").json(path)
+
+
+def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Events of a run report; lines that are no valid event are left out."""
+    rows = spark.read.schema(schema + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.where("_broken is null").drop("_broken")
+
+
 class StagedTable:
     """Write-audit-publish: runs write to staging, a commit swaps the pointer to it.
 

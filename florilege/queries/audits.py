@@ -196,7 +196,8 @@ def match_confirmation(spark: SparkSession, d: str) -> DataFrame:
     """Is a document the paper its identifier says? By its title in the text, then the authors; doubt rejects."""
     docs = table(spark, d, "documents").where("text is not null and paper_id is not null").select("doc_id", "paper_id", "text")
     cand = table(spark, d, "digest_papers").where("paper_id <> 'pmid_null'").groupBy("paper_id").agg(F.min_by(F.struct("title", "authors"), "id").alias("c")).select("paper_id", "c.title", "c.authors")
-    return docs.join(cand, "paper_id").select("doc_id", M.confirmed(F.col("title"), F.col("authors"), F.col("text")).alias("confirmed"))
+    both = docs.join(cand, "paper_id").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")  # small rows, long work
+    return both.select("doc_id", M.confirmed(F.col("title"), F.col("authors"), F.col("text")).alias("confirmed"))
 
 
 def postings_upkeep(spark: SparkSession, d: str) -> DataFrame:

@@ -156,6 +156,13 @@ def preprint_doi(c: Column | str, prefixes: str = "1101|64898") -> Column:
     return F.nullif(F.regexp_extract(x, rf"(10\.(?:{prefixes})/[0-9.]*[0-9])", 1), F.lit(""))
 
 
+def write_id_files(records: DataFrame, path: str) -> None:
+    """Two folders of text files: the distinct PubMed numbers, one a line in numeric order, and a TSV of the records without one."""
+    numbers = records.where(F.col("pmid").rlike(r"^\d+$")).select("pmid").distinct().orderBy(F.col("pmid").cast("bigint"))
+    numbers.write.mode("overwrite").text(f"{path}/pmids")
+    records.where("pmid is null or pmid = ''").select("title", "journal", "year").write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{path}/no_pmid")
+
+
 GRANT = T.StructType(
     [
         T.StructField("core_project_num", T.StringType()),

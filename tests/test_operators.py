@@ -6,6 +6,7 @@ from florilege.operators import communities as C
 from florilege.operators import components as U
 from florilege.operators import dedup as D
 from florilege.operators import fulltext as T
+from florilege.operators import matching as M
 from florilege.operators import neighbours as N
 from florilege.operators import scoring as S
 from florilege.operators import state as K
@@ -62,9 +63,9 @@ def test_canonical_rows(spark):
 
 
 def test_duplicate_groups_note_earlier_kinds(spark):
-    df = spark.createDataFrame([(1, "7", None, "x" * 30), (2, "7", None, "x" * 30), (3, None, "10.1234/a", "y"), (4, None, "10.1234/A.", "z")], "id long, pmid string, doi string, title string")
+    df = spark.createDataFrame([(1, "7", None, "x" * 30), (2, "7", None, "x" * 30), (3, None, "10.1234/a", "y"), (4, None, "10.1234/A.", "z"), (5, "8", None, "w" * 30), (6, None, None, "w" * 30), (7, "7", "10.1234/b", "v" * 30), (8, None, "10.1234/b", "v" * 30)], "id long, pmid string, doi string, title string")
     got = {(r["kind"], r["n"], r["first"], r["seen"]) for r in D.duplicate_groups(D.paper_keys(df)).collect()}
-    assert got == {("pmid", 2, 1, False), ("title", 2, 1, True), ("doi", 2, 3, False)}
+    assert got == {("pmid", 3, 1, False), ("doi", 2, 3, False), ("doi", 2, 7, True), ("title", 2, 5, False), ("title", 2, 7, True)}
 
 
 def test_unseen_ignores_null_keys(spark):
@@ -215,3 +216,55 @@ def test_cascade_and_fill(spark):
     assert rows(M.fill_fields(df, new, "k", ["a", "b"]).na.fill("-")) == [(1, "n", "k", "a"), (2, "-", "z", ""), (3, "c", "y", "b")]
     twins = M.numbered_twins(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i long, n string"), "n", "i")
     assert rows(twins, "unique_name") == [("a",), ("a-2",), ("b",)]
+
+
+def test_similar_sets_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    sets = lambda n: [(i, rng.sample("abcdefghij", rng.randint(0, 6))) for i in range(n)]
+    a, b = sets(60) + [(99, None)], sets(60)
+    got = {(r["a"], r["b"]) for r in M.similar_sets(spark.createDataFrame(a, "a long, w array<string>"), spark.createDataFrame(b, "b long, w array<string>"), "a", "b", "w", 0.6).collect()}
+    assert got == {(i, j) for i, x in a for j, y in b if x and y and len(set(x) & set(y)) / max(len(x), len(y)) >= 0.6 - 1e-9}
+
+
+def test_confirmed(spark):
+    title, long = "On rare fat", "Loss of alpha restrains beta turnover in gamma mice of delta"
+    rows_ = [(1, title, ["Jane Doe"], "x  ON RARE\nfat. by Jane Doe"), (2, title, ["Ann Roe"], "on rare fat here"), (3, long + ".", None, "pad " * 90 + long.upper()), (4, long, [], "loss of alpha. it restrains much of the beta turnover here, in gamma rats of delta"), (5, long, [], "quite other words"), (6, None, None, "x"), (7, long, [], None)]
+    df = spark.createDataFrame(rows_, "id long, t string, a array<string>, b string").select("id", M.confirmed(F.col("t"), F.col("a"), F.col("b")).alias("c"))
+    assert {r["id"] for r in df.where("c").collect()} == {1, 3, 4}
+
+
+def test_postings_upkeep(spark):
+    df = spark.createDataFrame([(1, "a b b"), (2, "c"), (3, None)], "id long, text string")
+    old = T.postings(df, "id", ["text"])
+    changed = spark.createDataFrame([(2, "d d"), (4, "e")], "id long, text string")
+    now = T.update_postings(old, changed, spark.createDataFrame([(1,)], "id long"), "id", ["text"])
+    assert rows(now, "id", "term", "tf") == [(2, "d", 2), (4, "e", 1)]
+
+
+def test_word_chunks(spark):
+    text = " ".join(f"w{i}" + (".\n" if i % 50 == 49 else "") for i in range(2000)) + "  "
+    got = sorted((r for r in T.chunk_words(spark.createDataFrame([(1, text), (2, "short one"), (3, ""), (4, None)], "id long, text string"), "id", "text").collect()), key=lambda r: (r["id"], r["seq"]))
+    mine = [r for r in got if r["id"] == 1]
+    assert {r["id"] for r in got} == {1, 2} and [r["text"].split()[0] for r in mine] == [f"w{680 * k}" for k in range(len(mine))]
+    assert all(r["text"].endswith(".\n") for r in mine[:-1]) and mine[-1]["text"].split()[-1] == "w1999." and max(r["n_tokens"] for r in mine) == 800
+    covered = set().union(*(r["text"].split() for r in mine))
+    assert len(covered) >= 1900
+
+
+def test_inserts_guards_and_events(spark, tmp_path):
+    base = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
+    new = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (None, [1.0, 1.0])], base.schema)
+    assert [r["id"] for r in K.insert_new(base, new, "id").collect()] == [2]
+    assert K.check_dimension(base, "v", 2) is False and K.check_dimension(base, "v", 3, acknowledged=True) is True and K.check_dimension(base.limit(0), "v", 3) is False
+    with pytest.raises(ValueError):
+        K.check_dimension(base, "v", 3)
+    path = tmp_path / "report"
+    path.mkdir()
+    (path / "old.json").write_text("{this is not valid json")
+    K.append_events(spark.createDataFrame([("fetch", "ok"), ("score", "abort")], "stage string, result string"), f"file://{path}")
+    got = K.read_events(spark, f"file://{path}", "stage string, result string")
+    assert rows(got, "stage", "result") == [("fetch", "ok"), ("score", "abort")]
+    a, b = (spark.createDataFrame([(x,) for x in names], "slug string") for names in ("abc", "bd"))
+    assert rows(K.stale_outputs(a, b, "slug"), "slug") == [("a",), ("c",)]

@@ -70,7 +70,7 @@ def test_strip_and_count(spark):
 
 def test_findings_keep_text_order(spark):
     a = "We measured things in a long plain sentence without any of it at all."
-    b = "The results show that this reduces and improves the measured outcome."
+    b = "The results showed that this reduced and significantly enhanced the measured outcome."
     c = "It was found that nothing else changed in the remaining animals here."
     assert one(spark, X.findings("t", 2), t=" ".join([a, b, c, "Short show."])) == [b, c]
     assert one(spark, X.findings("t"), t="") == []
@@ -87,3 +87,19 @@ def test_calendar(spark):
     assert one(spark, X.iso_week("d"), d=date(2024, 12, 30)) == "2025-W01"
     assert one(spark, X.fiscal_year("d"), d=date(2024, 10, 1)) == 2025
     assert one(spark, X.fiscal_year("d"), d=date(2024, 9, 30)) == 2024
+
+
+def test_forms(spark):
+    from florilege.functions import papers as P
+
+    assert one(spark, P.short_author(F.col("n")), n="Jane Ann Doe") == "J. A. Doe" and one(spark, P.short_author(F.col("n")), n="Chen-Yu Yeh") == "C.-Y. Yeh" and one(spark, P.short_author(F.col("n")), n="Plato") == "Plato"
+    assert one(spark, P.index_path(F.col("n")), n="Notes___My File!! (v2).MD") == "notes/my-file-v2.md" and one(spark, P.index_path(F.col("n")), n="a/b/!!.md") is None
+    assert one(spark, P.safe_file_name(F.col("n")), n="dir/A  b_c: (d).v2.pdf") == "A_b_c_d.v2"
+    assert [one(spark, P.initial_dot(F.col("n")), n=x) for x in ("Jane A", "J", "Jane", "JA")] == ["Jane A.", "J.", "Jane", "JA."]
+    assert one(spark, P.money(F.col("n").cast("double")), n="1234567.5") == "$1,234,568" and one(spark, P.money(F.col("n").cast("double")), n="0") is None
+    assert one(spark, P.suspicious_title("n"), n="Research  Article on mice") and not one(spark, P.suspicious_title("n"), n="Research on mice and their fat")
+
+
+def test_sanitize_nested(spark):
+    out = one(spark, X.sanitize("h"), h="<scr<script>ipt>alert(1)</script>")
+    assert "<script" not in out.lower()
