@@ -49,14 +49,14 @@ def search(
     """
     wanted = queries.select("query", F.explode(F.array_distinct(tokens("text"))).alias("prefix"))
     need = wanted.groupBy("query").agg(F.count("*").alias("need"))
-    total = F.size(tokens(F.concat_ws(" ", *weights)))
+    total = F.regexp_count(F.lower(F.concat_ws(" ", *weights)), F.lit(r"[\p{L}\p{N}]+"))
     size = docs.where(F.col(ident).isNotNull()).select(ident, total.alias("len"))
     stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
     asked = [r["prefix"] for r in wanted.select("prefix").distinct().limit(MOST_ASKED + 1).collect()]
     few = len(asked) <= MOST_ASKED
     longest = max(map(len, asked), default=1) if few else wanted.agg(F.max(F.length("prefix"))).first()[0]
-    begins = "^(?:" + "|".join(asked) + ")" if asked else "^$"
-    keep = (lambda c: F.filter(tokens(c), lambda t: t.rlike(begins))) if few else tokens
+    begins = r"(?<![\p{L}\p{N}])((?:" + "|".join(asked) + r")[\p{L}\p{N}]*)" if asked else "(^$)"
+    keep = (lambda c: F.regexp_extract_all(F.lower(c), F.lit(begins), 1)) if few else tokens
     cols = F.array(*(F.struct(F.lit(x).alias("w"), keep(F.coalesce(F.col(c), F.lit(""))).alias("ts")) for c, x in weights.items()))
     words = docs.where(F.col(ident).isNotNull()).select(ident, F.inline(cols)).select(ident, "w", F.explode("ts").alias("term"))
     heads = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest))), lambda i: F.substring(F.col("term"), F.lit(1), i))

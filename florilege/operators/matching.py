@@ -116,6 +116,20 @@ def similar_sets(left: DataFrame, right: DataFrame, ident: str, other: str, word
     return hit.select(F.col("a").cast(kind(left, ident)).alias(ident), F.col("b").cast(kind(right, other)).alias(other), "overlap")
 
 
+def place_in_group(df: DataFrame, group: str, ident: str, width: int = 100_000) -> DataFrame:
+    """Adds place: from 0, the place of a row in its group in the order of a whole-number ident.
+
+    Ranges of ``width`` idents are counted first; rows are only numbered within
+    their range, so a group that holds a tenth of all rows is spread over tasks.
+    """
+    df = df.withColumn("_range", F.floor(F.col(ident) / width))
+    sizes = df.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    starts = sizes.select(group, "_range", before.alias("_start"))
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(ident)) - 1
+    return df.withColumn("_own", own).join(starts, [group, "_range"]).withColumn("place", F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
+
+
 def numbered_twins(df: DataFrame, name: str, order: str) -> DataFrame:
     """Adds unique_name: the first row of a name keeps it, later ones get '-2', '-3' and so on."""
     r = F.row_number().over(Window.partitionBy(name).orderBy(order))

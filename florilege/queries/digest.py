@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dedup as D
+from ..operators import matching as M
 from ..operators import scoring as S
 from ..operators import state as K
 from ..session import table
@@ -80,8 +81,7 @@ def abort_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_slices(spark: SparkSession, d: str) -> DataFrame:
     """Scoring requests of 15 rows each within a run: number of requests and sizes of the last."""
-    w = Window.partitionBy("batch").orderBy("id")
-    df = table(spark, d, "digest_papers").where(X.blank_to_null("batch").isNotNull()).select("batch", "id", F.floor((F.row_number().over(w) - 1) / 15).alias("slice"))
+    df = M.place_in_group(table(spark, d, "digest_papers").where(X.blank_to_null("batch").isNotNull()).select("batch", "id"), "batch", "id").withColumn("slice", F.floor(F.col("place") / 15))
     return df.groupBy("batch", "slice").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
@@ -98,7 +98,11 @@ def keyword_order(spark: SparkSession, d: str) -> DataFrame:
     last = df.agg(F.max("batch").alias("batch"))
     rank = F.when(F.col("relevance") == "high", 0).when(F.col("relevance") == "medium", 1).otherwise(2)
     rows = df.join(F.broadcast(last), "batch").select("id", rank.alias("rank"), F.date_format("pub_date", "yyyy-MM-dd").alias("day"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("rank", F.desc_nulls_last("day"), "id")))  # one run's rows
+    sizes = rows.groupBy("rank", "day").agg(F.count("*").alias("n"))
+    w = Window.orderBy("rank", F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)  # one row a label and day
+    starts = sizes.select(F.col("rank").alias("r"), F.col("day").alias("dd"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("rank", "day").orderBy("id")))
+    return own.join(starts, (F.col("rank") == F.col("r")) & F.col("day").eqNullSafe(F.col("dd"))).select("id", "rank", "day", (F.col("start") + F.col("own")).cast("int").alias("place"))
 
 
 def batches(spark: SparkSession, d: str) -> DataFrame:
@@ -137,8 +141,8 @@ def latest_update(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_prompt(spark: SparkSession, d: str) -> DataFrame:
     """One request text per 15 rows of a run: numbered entries, abstracts cut at 800 characters."""
-    w = Window.partitionBy("batch").orderBy("id")
-    df = table(spark, d, "digest_papers").where(X.blank_to_null("batch").isNotNull()).withColumn("r", F.row_number().over(w) - 1)
+    df = table(spark, d, "digest_papers").where(X.blank_to_null("batch").isNotNull()).select("batch", "id", "title", "abstract")
+    df = M.place_in_group(df, "batch", "id").withColumnRenamed("place", "r")
     entry = F.concat(F.lit("["), (F.col("r") % 15 + 1).cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.substring(F.coalesce("abstract", F.lit("")), 1, 800))
     g = df.withColumn("slice", F.floor(F.col("r") / 15)).groupBy("batch", "slice").agg(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))).alias("es"))
     text = F.array_join(F.transform("es", lambda x: x["e"]), "\n\n---\n\n")
@@ -232,6 +236,7 @@ ORACLE = {
     "grant_topics": r"select topic, count(*) as n from (select unnest(regexp_split_to_array(source, ',\s*')) as topic from digest_grants) where topic <> '' group by topic",
     "grant_pi_names": r"""select id, array_to_string(list_transform(string_split(lower(regexp_replace(n, '\s+', ' ', 'g')), ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda x: upper(x[1:1]) || x[2:]), '-')), ' ') as name
         from (select id, case when contains(pi, ',') then concat_ws(' ', trim(substr(pi, position(',' in pi) + 1)), trim(split_part(pi, ',', 1))) else trim(pi) end as n from digest_grants where regexp_matches(pi, '\S'))""",
+    "newest_rows": "select hash, seq::bigint as seq from (select *, try_cast(embedded_at as timestamp) as t from content_vectors) order by t desc nulls last, hash || '_' || seq limit 1000",
     "upsert_merge": """with n as (select paper_id, arg_max(row(journal, relevance), id) as r from digest_papers where paper_id <> 'pmid_null' group by paper_id)
         select coalesce(p.paper_id, n.paper_id) as paper_id, p.title, coalesce(n.r[1], p.journal) as journal, coalesce(n.r[2], p.relevance) as relevance from papers p full outer join n on p.paper_id = n.paper_id""",
 }

@@ -76,8 +76,10 @@ def title_in_body(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "papers").select("id", F.lower("title").alias("title"), T.tokens("title").alias("ws")).where(F.size("ws") >= 3)
     inner = F.slice("ws", 2, F.size("ws") - 2)
     t = t.withColumn("w", F.array_max(F.transform(inner, lambda x: F.struct((x.rlike("[a-z]") & x.rlike("[0-9]")).alias("c"), F.length(x).alias("n"), x.alias("x"))))["x"]).drop("ws")
-    hit = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("body"))).alias("w")).join(t, "w").select("doc_id", "id", "title")
-    return hit.join(docs, "doc_id").where(F.col("body").contains(F.col("title"))).select("id", "doc_id")
+    words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("body"))).alias("w"))
+    hit = words.join(t, "w").groupBy("doc_id").agg(F.collect_list(F.struct("id", "title")).alias("ts"))  # at most the titles of a document's words
+    found = hit.join(docs, "doc_id").select("doc_id", F.filter("ts", lambda x: F.col("body").contains(x["title"])).alias("ts"))
+    return found.select(F.explode("ts.id").alias("id"), "doc_id")
 
 
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -173,6 +175,8 @@ RRF = BM25 + f""", f as (select query, {TOK.format('text')}[1] as w from q), new
 WORDS = r"""list_filter(list_distinct(regexp_split_to_array(lower(title), '[^\p{L}\p{N}_]+')), lambda w: regexp_full_match(w, '[a-z]{2,}') and not list_contains(['a', 'an', 'the', 'of', 'in', 'for', 'and', 'or', 'is', 'to', 'by', 'on', 'at', 'its', 'with', 'from', 'that', 'this', 'not',
   'are', 'was', 'as', 'it', 'be', 'into', 'via', 'but'], w))"""
 PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace(full_text_summary, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"
+NOTE = r"""(case when regexp_replace(regexp_replace(trim(regexp_extract(h, '(?m)^{0}:[ \t]*(.*?)[ \t\r]*$', 1)), '^"(.*)"$', '\1'), '^''(.*)''$', '\1') not in ('', 'null', '~', '[]')
+  then regexp_replace(regexp_replace(trim(regexp_extract(h, '(?m)^{0}:[ \t]*(.*?)[ \t\r]*$', 1)), '^"(.*)"$', '\1'), '^''(.*)''$', '\1') end)"""
 ORACLE = {
     "bm25_search": BM25 + " select query, doc_id, bm25, score, rank from bm where rank <= 20",
     "rrf_fusion": RRF,
@@ -193,6 +197,19 @@ ORACLE = {
     "index_rows": r"""with r as (select *, list_filter(authors, lambda x: regexp_matches(x, '\S')) as a from papers) select id, concat_ws(' | ', '', coalesce(paper_id, '-'), coalesce(year(pub_date)::varchar, '-'),
         coalesce(case when len(a) > 3 then array_to_string(a[1:3], ', ') || ' et al.' when len(a) > 0 then array_to_string(a, ', ') end, '-'), coalesce(journal, '-'),
         coalesce(case when length(title) > 100 then substr(title, 1, 97) || '...' else title end, '-'), '') as line from r""",
-    "front_matter": None,
+    "front_matter": rf"""with h as (select doc_id, regexp_extract(text, '(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)', 1) as h, regexp_replace(text, '(?s)\A---\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\z)', '') as b from documents where starts_with(text, '---' || chr(10)))
+        select doc_id, {NOTE.format('title')} as title, {NOTE.format('journal')} as journal, try_cast({NOTE.format('year')} as int) as year, sha256(b) as body_sha, len(list_filter(regexp_split_to_array(b, '\s+'), lambda w: w <> ''))::bigint as words,
+        len(regexp_extract_all(b, '(?m)^## ')) > 1 as has_full_text from h""",
+    "body_changes": """select case when added_at < '2023-01-01' then case when doc_id % 7 = 0 and text is not null then 'changed' else 'unchanged' end else 'new' end as change, count(*) as n from documents where source = 'vault' group by 1""",
+    "document_snippets": """with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+        n as (select doc_id, ls, list_transform(ls, lambda s: contains(lower(s), 'insulin')::int + contains(lower(s), 'mice')::int + contains(lower(s), 'fasting')::int) as n from l),
+        b as (select doc_id, ls, list_position(n, list_max(n)) - 1 as b from n)
+        select doc_id, (b + 1)::bigint as line, sha256(substr(array_to_string(ls[greatest(b, 1):b + 3], chr(10)), 1, 500)) as sha from b""",
+    "html_sanitize": r"""select id, coalesce(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(full_text_summary, '(?s)<!--.*?-->', '', 'g'), '(?i)<(/?)(h4|p|ul|li)(?:\s[^>]*)?/?>', chr(1) || '\1\2' || chr(2), 'g'), '<[/!?a-zA-Z][^>]*>', '', 'g'),
+        '(?i)' || chr(1) || '(/?)h4' || chr(2), '<\1h4>', 'g'), '(?i)' || chr(1) || '(/?)p' || chr(2), '<\1p>', 'g'), '(?i)' || chr(1) || '(/?)ul' || chr(2), '<\1ul>', 'g'), '(?i)' || chr(1) || '(/?)li' || chr(2), '<\1li>', 'g'), '') as html from papers""",
+    "findings_from_text": r"""with s as (select id, list_filter(list_transform(string_split(regexp_replace(abstract, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 40) as s from digest_papers where regexp_matches(abstract, '\S')),
+        k as (select id, s, list_sort(list_transform(s, lambda x, i: {'k': -len(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: list_contains(['showed', 'demonstrated', 'found', 'identified', 'reveal', 'required', 'increased', 'decreased', 'reduced', 'enhanced', 'suppressed',
+          'activated', 'inhibited', 'suggest', 'indicate', 'conclude', 'significantly', 'potently', 'robustly', 'unexpectedly'], w))), 'i': i}))[1:4] as b from s), f as (select id, len(b)::bigint as n, s[list_min(list_transform(b, lambda x: x.i))] as f from k)
+        select id, n, case when length(f) > 130 then substr(f, 1, 127) || '...' else f end as first from f""",
 }
 ORACLE = {k: v for k, v in ORACLE.items() if v}
