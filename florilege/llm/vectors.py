@@ -611,27 +611,36 @@ def links_between_cells(vectors: DataFrame, centres: np.ndarray, least: float =
     kind = "b long, ids binary, codes binary, lots binary"
     blocks = stash(vectors.mapInPandas(deal, kind).groupBy("b").applyInPandas(whole, kind).repartition(spark.sparkContext.defaultParallelism * 2, "b"))
 
-    def reach(x, y, lots_y):
-        """Rows of x that can have a link to some row of y."""
-        c, at = np.unique(lots_y, return_inverse=True)
+    def read(b, ids, codes, lots):
+        """A block as its tasks need it: ids, vectors, cells, and for each cell its centre and what a vector's product with it must reach to have a link there."""
+        x, g = unit(_matrix([codes], dims)), np.frombuffer(lots, "<i4")
+        c, at = np.unique(g, return_inverse=True)
         own = held.value[c % len(centres)]
         radius = np.zeros(len(c))
-        np.maximum.at(radius, at, np.arccos(np.clip(np.einsum("ij,ij->i", y, own[at]), -1, 1)))
-        return (x @ own.T >= np.where(radius + angle < math.pi, np.cos(radius + angle), -2)).any(axis=1)
+        np.maximum.at(radius, at, np.arccos(np.clip(np.einsum("ij,ij->i", x, own[at]), -1, 1)))
+        far = np.where(radius + angle < math.pi, np.cos(np.minimum(radius + angle, math.pi)), -2).astype("f4")
+        return np.frombuffer(ids, "<i8"), x, set((c % len(centres)).tolist()), own.T, far
 
     def meet(it):
+        kept = {}  # blocks read last; each takes part in many pairs
+
+        def block_of(b, *rest):
+            if b not in kept:
+                if len(kept) >= 32:
+                    kept.pop(next(iter(kept)))
+                kept[b] = read(b, *rest)
+            return kept[b]
+
         for pdf in it:
             for r in pdf.itertuples(index=False):
-                one = r.b == r.b2
-                a, x, g = np.frombuffer(r.ids, "<i8"), unit(_matrix([r.codes], dims)), np.frombuffer(r.lots, "<i4")
-                b, y, h = (a, x, g) if one else (np.frombuffer(r.ids2, "<i8"), unit(_matrix([r.codes2], dims)), np.frombuffer(r.lots2, "<i4"))
-                if len({*(g % len(centres)).tolist(), *(h % len(centres)).tolist()}) == 1:
+                a, x, cells, cx, fx = block_of(r.b, r.ids, r.codes, r.lots)
+                b, y, other, cy, fy = block_of(r.b2, r.ids2, r.codes2, r.lots2)
+                if len(cells | other) == 1:
                     continue  # one cell
+                one = r.b == r.b2
                 if not one:
-                    u = reach(x, y, h)
-                    a, x, g = a[u], x[u], g[u]
-                    v = reach(y, x, g)
-                    b, y = b[v], y[v]
+                    u, v = (x @ cy >= fy).any(axis=1), (y @ cx >= fx).any(axis=1)
+                    a, x, b, y = a[u], x[u], b[v], y[v]
                 if not len(a) or not len(b):
                     continue
                 link = np.empty((len(a), len(b)), bool)
