@@ -98,6 +98,13 @@ def central_members(edges: DataFrame, parts: DataFrame, top: int = 10) -> DataFr
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "node"))).where(F.col("rank") <= top)
 
 
+def other_communities(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, others): the communities of a node's neighbours other than its own, sorted; nodes without any are left out."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("o")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("o")))
+    j = ends.join(parts, "node").join(parts.select(F.col("node").alias("o"), F.col("community").alias("oc")), "o").where("community <> oc")
+    return j.groupBy("node").agg(F.array_sort(F.collect_set("oc")).alias("others"))  # at most the communities
+
+
 def bridges(edges: DataFrame, parts: DataFrame, top: int = 30) -> DataFrame:
     """(node, community, others, across): nodes that join most communities, by weight across them."""
     a = edges.join(parts.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(parts.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca <> cb")
@@ -106,20 +113,20 @@ def bridges(edges: DataFrame, parts: DataFrame, top: int = 30) -> DataFrame:
     return g.orderBy(F.desc("others"), F.desc("across"), "node").limit(top)
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most: int = 30) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, betweenness): share of shortest paths (by hops) from the ``sources`` that run through a node, largest scaled to 1.
 
     ``sources``: node. With all nodes as sources this is the exact measure; a
     sample gives an estimate. Breadth-first search runs from all sources at once:
     a table of (source, node, distance, paths) grows by one join a hop and is
     written between hops, so its size is sources times nodes reached. Dependencies
-    are then summed back hop by hop. Paths above ``most`` hops are not followed.
+    are then summed back hop by hop. Paths of any length are followed.
     """
     both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     front = stash(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")).distinct())
     levels = [front]
     seen = front.select("s", "v")
-    for _ in range(most):
+    while True:
         step = front.join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
         front = stash(step.join(seen, ["s", "v"], "left_anti"))
         if not front.limit(1).count():

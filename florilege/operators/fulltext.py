@@ -172,6 +172,72 @@ def snippets(docs: DataFrame, text: str, terms: list[str], most: int = 500) -> D
     return docs.withColumn("line", best + 1).withColumn("snippet", F.substring(body, 1, most))
 
 
+def find_documents(asked: DataFrame, docs: DataFrame, ask: str, name: str, ident: str) -> DataFrame:
+    """(ask, ident, how): the document a name means, by short id ('#' and six hex digits, or those alone), whole path, or end of a path.
+
+    ``docs``: ident, docid, path. The first way that finds something wins, of
+    several documents the smallest ident; names nobody has are 'not found'. All
+    ways are one equi-join: a path is listed under each of its ends.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.trim(name), "^[a-z]+://", ""), '^"|"$', "")
+    short = F.lower(F.regexp_extract(plain, "^#?([0-9a-fA-F]{6})$", 1))
+    want = asked.select(ask, F.inline(F.array(F.struct(F.lit(0).alias("n"), F.nullif(short, F.lit("")).alias("k")), F.struct(F.lit(1).alias("n"), plain.alias("k")), F.struct(F.lit(2).alias("n"), plain.alias("k"))))).where("k is not null")
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.struct(F.lit(2).alias("n"), F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("k")))
+    ends = F.when(F.size(parts) > 1, ends).otherwise(F.array().cast("array<struct<n:int,k:string>>"))
+    have = docs.select(F.col(ident).alias("_found"), F.inline(F.concat(F.array(F.struct(F.lit(0).alias("n"), F.col("docid").alias("k")), F.struct(F.lit(1).alias("n"), F.col("path").alias("k"))), ends))).where("k is not null")
+    best = want.join(have, ["n", "k"]).groupBy(ask).agg(F.min(F.struct("n", "_found")).alias("m"))
+    how = F.coalesce(F.get(F.array(F.lit("docid"), F.lit("path"), F.lit("suffix")), F.col("m.n")), F.lit("not found"))
+    return asked.select(ask).join(best, ask, "left").select(ask, F.col("m._found").alias(ident), how.alias("how"))
+
+
+def glob_pattern(glob: str) -> str:
+    """Regular expression of a path pattern: '**' any path, '*' and '?' within a part, '{a,b}' either."""
+    out, depth, i = "", 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if glob.startswith("**", i):
+            out, i = out + ".*", i + 1
+        elif c in "*?":
+            out += "[^/]*" if c == "*" else "[^/]"
+        elif c == "{":
+            out, depth = out + "(?:", depth + 1
+        elif c == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif c == "," and depth:
+            out += "|"
+        else:
+            out += re.escape(c)
+        i += 1
+    return f"^{out}$"
+
+
+def get_many(asked: DataFrame, docs: DataFrame, ident: str, path: str, text: str, most_bytes: int = 10240) -> DataFrame:
+    """(ask, ident, bytes, result): documents by patterns or comma lists of paths; too large ones are skipped, missing names reported.
+
+    ``asked``: ask, names; a request of a few lines, as a user types it.
+    Patterns become one filter of the table each, names are joined.
+    """
+    spark = docs.sparkSession
+    size = F.octet_length(text).cast("long")
+    row = lambda df: df.select("ask", ident, size.alias("bytes"), F.when(size > most_bytes, "too large").otherwise("ok").alias("result"))
+    out, names = None, []
+    for r in asked.collect():
+        if re.search(r"[*?{]", r["names"]):
+            one = row(docs.where(F.col(path).rlike(glob_pattern(r["names"]))).withColumn("ask", F.lit(r["ask"])))
+            out = one if out is None else out.unionByName(one)
+        else:
+            names += [(r["ask"], n.strip()) for n in r["names"].split(",") if n.strip()]
+    if names:
+        want = F.broadcast(spark.createDataFrame(names, "ask int, _name string"))  # as many as a user typed
+        hit = docs.join(want, F.col(path) == F.col("_name"))
+        lost = want.join(hit.select("ask", "_name").distinct(), ["ask", "_name"], "left_anti")
+        missing = lost.select("ask", F.lit(None).cast(docs.schema[ident].dataType).alias(ident), F.lit(None).cast("long").alias("bytes"), F.concat(F.lit("not found: "), "_name").alias("result"))
+        one = row(hit).unionByName(missing)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def numbered(text: Column | str, first: int = 1) -> Column:
     """Text with 'n: ' before each line."""
     c = F.col(text) if isinstance(text, str) else text

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import fulltext as T
 from ..operators import matching as M
+from ..operators import neighbours as N
+from ..operators import state as K
 from ..session import table
 from .dedup import DOI, PMID
+from .graph import NEAR
 
 #: Journals that are preprint servers.
 PREPRINT_JOURNALS = ["biorxiv", "medrxiv", "arxiv", "preprints", "biorxiv : the preprint server for biology", "medrxiv : the preprint server for health sciences", "research square"]
@@ -210,9 +213,85 @@ def postings_upkeep(spark: SparkSession, d: str) -> DataFrame:
     return now.groupBy("column").agg(F.count("*").alias("n"), F.sum("tf").alias("words"), F.count_distinct("doc_id").alias("docs"))
 
 
+def gap_report(spark: SparkSession, d: str) -> DataFrame:
+    """The ten bodies that lack most of their vectors, and the band their number puts the index in."""
+    g = table(spark, d, "content_vectors").groupBy("hash").agg((F.max("seq") + 1 - F.count("*")).cast("long").alias("gap")).where("gap > 0")
+    n = g.agg(F.count("*").alias("bodies"))  # one row
+    band = F.when(F.col("bodies") > 10, "CRITICAL").when(F.col("bodies") > 0, "WARNING").otherwise("OK")
+    return g.orderBy(F.desc("gap"), "hash").limit(10).crossJoin(F.broadcast(n)).select("hash", "gap", "bodies", band.alias("band"))
+
+
+def digest_recency(spark: SparkSession, d: str) -> DataFrame:
+    """Days from each source's last run to the last row added anywhere; more than eight are critical."""
+    df = table(spark, d, "digest_papers").where(F.col("batch").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    last = table(spark, d, "digest_papers").agg(F.max(F.to_date("added_date")).alias("last"))  # one row
+    g = df.groupBy("source").agg(F.max(F.col("batch").cast("date")).alias("day")).crossJoin(F.broadcast(last)).withColumn("days", F.date_diff("last", "day"))
+    return g.select("source", "days", F.when(F.col("days") > 8, "CRITICAL").otherwise("OK").alias("state"))
+
+
+def grant_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Awards by class of mechanism, everything else as 'other'."""
+    m = F.coalesce("mechanism", F.lit(""))
+    kind = F.when(m.isin("R01", "R21"), m).when(m.startswith("P"), "P*").when(m.startswith("K"), "K*").when(m.startswith("U"), "U*").otherwise("other")
+    return table(spark, d, "digest_grants").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.coalesce("amount", F.lit(0))).cast("double").alias("amount"))
+
+
+def suffix_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose source ends in '_text' or '_feed', the underscore taken as it is."""
+    return table(spark, d, "documents").where(F.expr(r"source like '%!_text' escape '!' or source like '%!_feed' escape '!'")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+def selected_order(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 best rows by combined score, unscored ones as 0, with the identifier each is known by."""
+    s = F.col("sonnet_combined")
+    c = F.round(F.coalesce(F.when(~F.isnan(s), s), F.lit(0.0)), 4)
+    known = F.coalesce(X.blank_to_null("paper_id"), X.blank_to_null("pmid"), X.blank_to_null("doi"), F.lit(""))
+    return table(spark, d, "digest_papers").select("id", c.alias("combined"), known.alias("known")).orderBy(F.desc("combined"), "id").limit(200)
+
+
+def index_files(spark: SparkSession, d: str) -> DataFrame:
+    """Digest rows and saved papers that meet under the name an index path and a file share."""
+    a = table(spark, d, "digest_papers").where("paper_id <> 'pmid_null'").select("id", X.file_key("paper_id").alias("k"))
+    b = table(spark, d, "papers").select(F.col("id").alias("paper"), X.file_key("paper_id").alias("k"))
+    return a.join(b, "k").groupBy("paper").agg(F.count("*").alias("rows"), F.min("id").alias("first"))
+
+
+def label_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Smallest, median, mean and largest group of vectors."""
+    n = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("groups"), F.min("n").alias("least"), F.expr("percentile(n, 0.5)").alias("median"), F.round(F.avg("n"), 4).alias("mean"), F.max("n").alias("most"))
+
+
+def point_updates(spark: SparkSession, d: str) -> DataFrame:
+    """The library after states were set for given keys: rows rejected by the latest run are removed, all others stay."""
+    new = table(spark, d, "digest_papers").where("relevance = 'low' and paper_id <> 'pmid_null'").select("paper_id").distinct().withColumn("status", F.lit("removed"))
+    base = table(spark, d, "papers").select("paper_id", "status")
+    keyed = K.merge_rows(base, new.join(base.select("paper_id"), "paper_id", "left_semi"), "paper_id")
+    return keyed.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def related_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Groups among the ten nearest of each query vector (ids divisible by 20); a query whose hits lie in one or two is widened."""
+    e = table(spark, d, "embeddings")
+    n = N.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).select("query", "vec_id")
+    g = n.join(e.select("vec_id", "label"), "vec_id").groupBy("query").agg(F.count_distinct("label").alias("groups"), F.count("*").alias("hits"))
+    return g.withColumn("widen", F.col("groups") <= 2)
+
+
+def query_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of the export as variants of library titles with the same start: equal ones and those without a shared word are dropped."""
+    start = F.substring(X.bare_title("title"), 1, 12)
+    q = table(spark, d, "papers").where(F.length("title") > 20).select("id", F.trim(F.lower("title")).alias("q"), start.alias("k"))
+    v = table(spark, d, "endnote_records").where(F.length("title") > 20).select("rec_no", F.trim(F.lower("title")).alias("v"), start.alias("k"))
+    j = q.join(v, "k").where("q <> v")
+    shared = F.size(F.array_intersect(T.tokens("q"), T.tokens("v")))
+    return j.where(shared > 0).select("id", "rec_no", shared.alias("shared"))
+
+
 QUERIES = {f.__name__: f for f in (
     preprint_filter, grant_selection, summary_queue, visible_states, recent_rows, days_stale, batch_order, index_order, topic_order, numeric_pmids, backlog, landing, sidecar_coverage, chunk_bodies, new_embeddings,
-    first_collection, bare_sources, topic_audit, implicit_negatives, feedback_targets, upsert_outcomes, published_versions, full_text_dois, expired_runs, match_confirmation, postings_upkeep)}
+    first_collection, bare_sources, topic_audit, implicit_negatives, feedback_targets, upsert_outcomes, published_versions, full_text_dois, expired_runs, match_confirmation, postings_upkeep, gap_report, digest_recency,
+    grant_classes, suffix_paths, selected_order, index_files, label_sizes, point_updates, related_labels, query_variants)}
 
 STATUS = r"coalesce(regexp_replace(lower(trim(status)), '[\s-]+', '_', 'g'), 'saved')"
 SERVERS = "('biorxiv', 'medrxiv', 'arxiv', 'preprints', 'biorxiv : the preprint server for biology', 'medrxiv : the preprint server for health sciences', 'research square')"
@@ -220,6 +299,7 @@ PLAIN = r"length(coalesce(trim(regexp_replace(replace(replace(replace(replace(re
 FIRST = r"""lower(case when contains(a[1], ',') then trim(split_part(trim(a[1]), ',', 1)) when regexp_matches(list_extract(regexp_split_to_array(trim(a[1]), '\s+'), -1), '^[A-Z]{1,4}$') and len(regexp_split_to_array(trim(a[1]), '\s+')) > 1
   then list_extract(regexp_split_to_array(trim(a[1]), '\s+'), 1) else list_extract(regexp_split_to_array(trim(a[1]), '\s+'), -1) end)"""
 TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+FILE = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '_-_', '-', 'g'), '_', '-', 'g'), '-{{2,}}', '-', 'g')"
 ORACLE = {
     "preprint_filter": f"select id, coalesce(lower(trim(journal)) in {SERVERS}, false) as server from digest_papers where not (coalesce(is_preprint, false) and coalesce(relevance = 'low', false))",
     "grant_selection": "select id, round(sonnet_relevance, 4) as relevance from digest_grants where coalesce(case when isnan(sonnet_relevance) then null else sonnet_relevance end, 0) >= 5.0",
@@ -261,6 +341,21 @@ ORACLE = {
         w as (select *, regexp_extract_all(t, '[a-z]{3,}') as ws, greatest(length(t) * 3, 300) as win, list_filter(regexp_extract_all(t, '\b([a-z]{2,})\b', 1), lambda w: not list_contains(['a', 'an', 'the', 'of', 'in', 'for', 'and', 'or', 'is', 'to', 'by', 'on', 'at', 'its', 'with', 'from', 'that', 'this', 'not'], w)) as cw from j),
         h as (select *, t <> '' and (contains(b, t) or (len(ws) >= 3 and coalesce(list_bool_or(list_transform(range(0, length(b) - 50, 50), lambda i: len(list_filter(ws, lambda w: contains(substr(b, i + 1, win), w))) >= floor(len(ws) * 0.8))), false))) as hit from w)
         select doc_id, coalesce(hit and (len(cw) >= 6 or coalesce(list_bool_or(list_transform(list_filter(a[1:5], lambda x: x is not null), lambda x: length(rtrim(lower(regexp_split_to_array(trim(x), '\s+')[-1]), '.')) >= 3 and contains(b, rtrim(lower(regexp_split_to_array(trim(x), '\s+')[-1]), '.')))), false)), false) as confirmed from h""",
+    "gap_report": """with g as (select hash, (max(seq) + 1 - count(*))::bigint as gap from content_vectors group by hash having count(*) < max(seq) + 1)
+        select hash, gap, (select count(*) from g) as bodies, case when (select count(*) from g) > 10 then 'CRITICAL' else 'WARNING' end as band from g order by gap desc, hash limit 10""",
+    "digest_recency": r"""select source, days::int as days, case when days > 8 then 'CRITICAL' else 'OK' end as state from (select source, date_diff('day', max(batch::date), (select max(added_date::date) from digest_papers)) as days
+        from digest_papers where regexp_matches(batch, '^\d{4}-\d{2}-\d{2}$') group by source)""",
+    "grant_classes": """select case when mechanism in ('R01', 'R21') then mechanism when mechanism like 'P%' then 'P*' when mechanism like 'K%' then 'K*' when mechanism like 'U%' then 'U*' else 'other' end as kind, count(*) as n, sum(coalesce(amount, 0))::double as amount from digest_grants group by 1""",
+    "suffix_paths": "select source, count(*) as n from documents where source like '%!_text' escape '!' or source like '%!_feed' escape '!' group by source",
+    "selected_order": r"""select id, round(coalesce(case when isnan(sonnet_combined) then null else sonnet_combined end, 0.0), 4) as combined, coalesce(case when regexp_matches(paper_id, '\S') then paper_id end, case when regexp_matches(pmid, '\S') then pmid end, case when regexp_matches(doi, '\S') then doi end, '') as known
+        from digest_papers order by combined desc, id limit 200""",
+    "index_files": f"""select p.id as paper, count(*) as rows, min(q.id) as first from papers p join digest_papers q on {FILE.format('p.paper_id')} = {FILE.format('q.paper_id')} where q.paper_id <> 'pmid_null' group by p.id""",
+    "label_sizes": "select count(*) as groups, min(n) as least, quantile_cont(n, 0.5) as median, round(avg(n), 4) as mean, max(n) as most from (select label, count(*) as n from embeddings group by label)",
+    "point_updates": "select case when paper_id in (select paper_id from digest_papers where relevance = 'low' and paper_id <> 'pmid_null') then 'removed' else status end as status, count(*) as n from papers group by 1",
+    "related_labels": f"with {NEAR}, g as (select query, count(distinct label) as groups, count(*) as hits from r join embeddings using (vec_id) where rank <= 10 group by query) select *, groups <= 2 as widen from g",
+    "query_variants": f"""with q as (select id, trim(lower(title)) as q, substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 12) as k from papers where length(title) > 20),
+        v as (select rec_no, trim(lower(title)) as v, substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 12) as k from endnote_records where length(title) > 20)
+        select id, rec_no, len(list_intersect({TOK.format('q')}, {TOK.format('v')}))::int as shared from q join v using (k) where q <> v and len(list_intersect({TOK.format('q')}, {TOK.format('v')})) > 0""",
     "postings_upkeep": f"""with w as (select doc_id, 'text' as "column", unnest({TOK.format("coalesce(text, '')")}) as term from documents where doc_id % 11 <> 0 union all select doc_id, 'journal', unnest({TOK.format("coalesce(journal, '')")}) from documents where doc_id % 11 <> 0)
         select "column", count(distinct doc_id || ' ' || term) as n, count(*) as words, count(distinct doc_id) as docs from w group by 1""",
 }

@@ -123,10 +123,12 @@ def bridge_authors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bridge_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    """Authors on most shortest paths of the co-author graph, from one author in twenty as sources; the 30 first."""
-    e = stash(_coauthors(spark, d))
+    """Authors on most shortest paths of the co-author graph, from one author in twenty as sources; the 30 first who touch another journal's authors."""
+    e, parts = _journal_graph(spark, d)
+    e = stash(e)
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     b = C.betweenness(e, nodes.where(F.pmod(F.xxhash64("node"), F.lit(20)) == 0))
+    b = b.join(C.other_communities(e, parts), "node").select("node", "betweenness", F.size("others").alias("communities"))
     return b.orderBy(F.desc("betweenness"), "node").limit(30)
 
 

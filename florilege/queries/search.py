@@ -117,18 +117,27 @@ def body_changes(spark: SparkSession, d: str) -> DataFrame:
     return V.changed(n.select("doc_id", "body_sha"), known, "doc_id", "body_sha").groupBy("change").agg(F.count("*").alias("n"))
 
 
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the path and the short id under which they can be asked for."""
+    name = F.concat(F.coalesce("paper_id", F.lit("note")), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, d, "documents").select("doc_id", "text", F.substring("hash", 1, 6).alias("docid"), F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("journal", F.lit("none")), name).alias("path"))
+
+
 def doc_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Every twentieth document by the first six digits of its hash: how many match, and the one taken."""
-    docs = table(spark, d, "documents").where("hash is not null").select("doc_id", F.substring("hash", 1, 6).alias("key"))
-    ask = docs.where("doc_id % 20 = 0").select("key").distinct()
-    return docs.join(ask, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("matches"))
+    """Every twentieth document asked for by short id, address, end of its path, or a name nobody has."""
+    docs = _paths(spark, d)
+    k = F.col("doc_id") / 20 % 4
+    ask = F.when(k == 0, F.concat(F.lit("#"), "docid")).when(k == 1, F.concat(F.lit("lib://"), "path")).when(k == 2, F.substring_index("path", "/", -2)).otherwise(F.concat(F.lit("no/such/"), F.col("doc_id").cast("string")))
+    return T.find_documents(docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("ask"), ask.alias("name")), docs, "ask", "name", "doc_id")
+
+
+#: What is asked for at once: patterns, and a list of names of which one is missing.
+ASKED = [(1, "vault/**"), (2, "*/none/note-?.md"), (3, "{grant_abstract,lab_log}/Annals*/*.md"), (4, "no/such/file.md, none")]
 
 
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of sources like 'v*' and '*_note': returned, or skipped with a reason above 10 KB."""
-    df = table(spark, d, "documents").where(F.col("source").rlike("^(v.*|.*_note)$"))
-    size = F.octet_length("text").cast("long")
-    return df.select("doc_id", size.alias("bytes"), F.when(size > 10240, F.lit("too large")).otherwise("ok").alias("result"))
+    """Documents by patterns and lists: returned, skipped above 10 KB, or not found."""
+    return T.get_many(spark.createDataFrame(ASKED, "ask int, names string"), _paths(spark, d), "doc_id", "path", "text")
 
 
 CONTEXTS = [("", "everything"), ("vault", "notes"), ("vault/Annals", "notes on the Annals"), ("abstract", "feeds")]
@@ -175,6 +184,7 @@ RRF = BM25 + f""", f as (select query, {TOK.format('text')}[1] as w from q), new
 WORDS = r"""list_filter(list_distinct(regexp_split_to_array(lower(title), '[^\p{L}\p{N}_]+')), lambda w: regexp_full_match(w, '[a-z]{2,}') and not list_contains(['a', 'an', 'the', 'of', 'in', 'for', 'and', 'or', 'is', 'to', 'by', 'on', 'at', 'its', 'with', 'from', 'that', 'this', 'not',
   'are', 'was', 'as', 'it', 'be', 'into', 'via', 'but'], w))"""
 PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace(full_text_summary, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"
+PATHS = """p as (select doc_id, text, substr(hash, 1, 6) as docid, concat_ws('/', coalesce(source, 'none'), coalesce(journal, 'none'), coalesce(paper_id, 'note') || '-' || doc_id || '.md') as path from documents)"""
 NOTE = r"""(case when regexp_replace(regexp_replace(trim(regexp_extract(h, '(?m)^{0}:[ \t]*(.*?)[ \t\r]*$', 1)), '^"(.*)"$', '\1'), '^''(.*)''$', '\1') not in ('', 'null', '~', '[]')
   then regexp_replace(regexp_replace(trim(regexp_extract(h, '(?m)^{0}:[ \t]*(.*?)[ \t\r]*$', 1)), '^"(.*)"$', '\1'), '^''(.*)''$', '\1') end)"""
 ORACLE = {
@@ -187,9 +197,13 @@ ORACLE = {
     "title_similarity": f"""with p as (select id, {WORDS} as pw from papers), e as (select rec_no, {WORDS} as ew from endnote_records)
         select id, rec_no, round(len(list_intersect(pw, ew)) / greatest(len(pw), len(ew)), 6) as sim from p, e where len(pw) > 0 and len(ew) > 0 and len(list_intersect(pw, ew)) / greatest(len(pw), len(ew)) >= 0.6""",
     "html_text": rf"select id, t as text, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''))::bigint as words from (select id, {PLAIN} as t from papers where full_text_summary is not null)",
-    "doc_lookup": """select key, min(doc_id) as doc_id, count(*) as matches from (select doc_id, substr(hash, 1, 6) as key from documents where hash is not null)
-        where key in (select substr(hash, 1, 6) from documents where doc_id % 20 = 0) group by key""",
-    "multi_get": "select doc_id, strlen(text)::bigint as bytes, case when strlen(text) > 10240 then 'too large' else 'ok' end as result from documents where regexp_full_match(source, 'v.*|.*_note')",
+    "doc_lookup": f"""with {PATHS}, a as (select doc_id as ask, case (doc_id // 20) % 4 when 0 then docid when 1 then path when 2 then array_to_string(string_split(path, '/')[-2:], '/') else 'no/such/' || doc_id end as name from p where doc_id % 20 = 0),
+        m as (select ask, 0 as n, p.doc_id from a join p on (ask // 20) % 4 = 0 and docid = name union all select ask, 1, p.doc_id from a join p on (ask // 20) % 4 = 1 and path = name
+          union all select ask, 2, p.doc_id from a join p on (ask // 20) % 4 = 2 and (path = name or ends_with(path, '/' || name)))
+        select a.ask, min(m.doc_id) as doc_id, coalesce((['docid', 'path', 'suffix'])[min(n) + 1], 'not found') as how from a left join m using (ask) group by a.ask""",
+    "multi_get": rf"""with {PATHS}, h as (select 1 as ask, * from p where starts_with(path, 'vault/') union all select 2, * from p where regexp_full_match(path, '[^/]*/none/note-[^/]\.md') union all select 3, * from p where regexp_full_match(path, '(?:grant_abstract|lab_log)/Annals[^/]*/[^/]*\.md'))
+        select ask, doc_id, strlen(text)::bigint as bytes, case when strlen(text) > 10240 then 'too large' else 'ok' end as result from h
+        union all select 4, null, null, 'not found: no/such/file.md' union all select 4, null, null, 'not found: none'""",
     "path_contexts": f"""with c(prefix, context) as (values {', '.join(f"('{a}', '{b}')" for a, b in CONTEXTS)}) select doc_id, string_agg(context, '; ' order by length(prefix), prefix) as contexts
         from (select doc_id, concat_ws('/', source, journal) as path from documents) join c on starts_with(path, prefix) group by doc_id""",
     "ris_export": r"""select id, sha256(concat_ws(chr(10), 'TY  - JOUR', 'TI  - ' || title, case when len(authors) > 0 then array_to_string(list_transform(authors, lambda a: 'AU  - ' || a), chr(10)) end, 'JO  - ' || journal,

@@ -268,3 +268,17 @@ def test_inserts_guards_and_events(spark, tmp_path):
     assert rows(got, "stage", "result") == [("fetch", "ok"), ("score", "abort")]
     a, b = (spark.createDataFrame([(x,) for x in names], "slug string") for names in ("abc", "bd"))
     assert rows(K.stale_outputs(a, b, "slug"), "slug") == [("a",), ("c",)]
+
+
+def test_glob_patterns():
+    import re
+
+    ok = lambda g, p: bool(re.match(T.glob_pattern(g), p))
+    assert ok("a/*.md", "a/b.md") and not ok("a/*.md", "a/b/c.md") and ok("a/**", "a/b/c.md") and ok("{a,b}/?.md", "b/x.md") and not ok("a.md", "axmd")
+
+
+def test_find_documents(spark):
+    docs = spark.createDataFrame([(1, "aa00bb", "v/one.md"), (2, "aa00bb", "v/sub/two.md"), (3, None, "w/sub/two.md"), (4, "c0ffee", "top.md")], "id long, docid string, path string")
+    asks = ["#AA00BB", "lib://v/sub/two.md", "sub/two.md", "two.md", "wo.md", "top.md", "", "c0ffee"]
+    got = T.find_documents(spark.createDataFrame(list(enumerate(asks)), "ask int, name string"), docs, "ask", "name", "id")
+    assert rows(got, "ask", "id", "how") == [(0, 1, "docid"), (1, 2, "path"), (2, 2, "suffix"), (3, 2, "suffix"), (4, None, "not found"), (5, 4, "path"), (6, None, "not found"), (7, 4, "docid")]
