@@ -561,12 +561,12 @@ def _stars(link: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pd.DataFram
     return pd.DataFrame({"src": a, "dst": a[g]})[a != a[g]]
 
 
-def links_between_cells(vectors: DataFrame, centres: np.ndarray, least: float = 0.8, dims: int = 64, block: int = 4096) -> DataFrame:
+def links_between_cells(vectors: DataFrame, centres: np.ndarray, least: float = 0.8, dims: int = 64, block: int = 16384, part: int = 4096) -> DataFrame:
     """(src, dst): star links whose components are those of all pairs with cosine >= least that do not have one nearest centre.
 
     Every vector lies in one block of about ``block`` vectors of neighbouring
-    cells, and every block meets every block once. Of two blocks only those
-    vectors are compared that the triangle inequality lets reach a cell of the
+    cells, and every block meets every block once, part by part. Of two parts
+    only those vectors are compared that the triangle inequality lets reach a cell of the
     other: their angle to its centre is at most the cell's radius there and the
     linking angle. So tight cells cost little, but wide ones are compared with
     everything: exact for any data, at a cost that can grow with the square of
@@ -611,43 +611,54 @@ def links_between_cells(vectors: DataFrame, centres: np.ndarray, least: float =
     kind = "b long, ids binary, codes binary, lots binary"
     blocks = stash(vectors.mapInPandas(deal, kind).groupBy("b").applyInPandas(whole, kind).repartition(spark.sparkContext.defaultParallelism * 2, "b"))
 
-    def read(b, ids, codes, lots):
-        """A block as its tasks need it: ids, vectors, cells, and for each cell its centre and what a vector's product with it must reach to have a link there."""
-        x, g = unit(_matrix([codes], dims)), np.frombuffer(lots, "<i4")
-        c, at = np.unique(g, return_inverse=True)
-        own = held.value[c % len(centres)]
-        radius = np.zeros(len(c))
-        np.maximum.at(radius, at, np.arccos(np.clip(np.einsum("ij,ij->i", x, own[at]), -1, 1)))
-        far = np.where(radius + angle < math.pi, np.cos(np.minimum(radius + angle, math.pi)), -2).astype("f4")
-        return np.frombuffer(ids, "<i8"), x, set((c % len(centres)).tolist()), own.T, far
+    def read(ids, codes, lots):
+        """A block as its tasks need it, in parts of neighbouring cells: ids, vectors, cells, and for each cell its centre and what a vector's product with it must reach to have a link there."""
+        ids, g = np.frombuffer(ids, "<i8"), np.frombuffer(lots, "<i4")
+        o = np.argsort(g, kind="stable")
+        ids, x, g = ids[o], unit(_matrix([codes], dims)[o]), g[o]
+        out = []
+        for i in range(0, len(ids), part):
+            y = x[i : i + part]
+            c, at = np.unique(g[i : i + part], return_inverse=True)
+            own = held.value[c % len(centres)]
+            radius = np.zeros(len(c))
+            np.maximum.at(radius, at, np.arccos(np.clip(np.einsum("ij,ij->i", y, own[at]), -1, 1)))
+            far = np.where(radius + angle < math.pi, np.cos(np.minimum(radius + angle, math.pi)), -2).astype("f4")
+            out.append((ids[i : i + part], y, set((c % len(centres)).tolist()), own.T, far))
+        return out
+
+    def compare(first, second, one):
+        (a, x, cells, cx, fx), (b, y, other, cy, fy) = first, second
+        if len(cells | other) == 1:
+            return  # one cell
+        if not one:
+            u, v = (x @ cy >= fy).any(axis=1), (y @ cx >= fx).any(axis=1)
+            a, x, b, y = a[u], x[u], b[v], y[v]
+        if not len(a) or not len(b):
+            return
+        link = np.empty((len(a), len(b)), bool)
+        for i in range(0, len(a), 1024):
+            np.greater_equal(x[i : i + 1024] @ y.T, np.float32(least - 5e-7), out=link[i : i + 1024])
+        if link.any():
+            yield _stars(link, a, None if one else b)
 
     def meet(it):
         kept = {}  # blocks read last; each takes part in many pairs
 
-        def block_of(b, *rest):
+        def parts_of(b, *blobs):
             if b not in kept:
-                if len(kept) >= 32:
+                if len(kept) >= 8:
                     kept.pop(next(iter(kept)))
-                kept[b] = read(b, *rest)
+                kept[b] = read(*blobs)
             return kept[b]
 
         for pdf in it:
             for r in pdf.itertuples(index=False):
-                a, x, cells, cx, fx = block_of(r.b, r.ids, r.codes, r.lots)
-                b, y, other, cy, fy = block_of(r.b2, r.ids2, r.codes2, r.lots2)
-                if len(cells | other) == 1:
-                    continue  # one cell
-                one = r.b == r.b2
-                if not one:
-                    u, v = (x @ cy >= fy).any(axis=1), (y @ cx >= fx).any(axis=1)
-                    a, x, b, y = a[u], x[u], b[v], y[v]
-                if not len(a) or not len(b):
-                    continue
-                link = np.empty((len(a), len(b)), bool)
-                for i in range(0, len(a), 1024):
-                    np.greater_equal(x[i : i + 1024] @ y.T, np.float32(least - 5e-7), out=link[i : i + 1024])
-                if link.any():
-                    yield _stars(link, a, None if one else b)
+                one, other = parts_of(r.b, r.ids, r.codes, r.lots), parts_of(r.b2, r.ids2, r.codes2, r.lots2)
+                for i, first in enumerate(one):
+                    for j, second in enumerate(other):
+                        if r.b != r.b2 or i <= j:
+                            yield from compare(first, second, r.b == r.b2 and i == j)
 
     pairs = blocks.crossJoin(blocks.toDF("b2", "ids2", "codes2", "lots2")).where("b <= b2")  # blocks, not rows
     return pairs.mapInPandas(meet, "src long, dst long").where("src <> dst").distinct()

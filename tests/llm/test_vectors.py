@@ -119,7 +119,7 @@ def test_clusters_far_from_centres(spark):
     assert len(want) >= 600
     assert {(r["cluster_key"], r["vec_rowid"]) for r in V.similarity_clusters(df).collect()} == want
     centres = V.kmeans_centres(df, 20)
-    links = V.similarity_links(df, centres, cells=1).unionByName(V.links_between_cells(df, centres, block=200))
+    links = V.similarity_links(df, centres, cells=1).unionByName(V.links_between_cells(df, centres, block=400, part=150))
     got = {(r["component"], r["node"]) for r in V.connected_components(links).collect()}
     assert got == components(cosines(x), 0.8, 2)
 
