@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +11,14 @@ from ..operators.state import StagedTable, merge_rows
 from ..session import shared_root
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
-    """One of the given tables as a stream of its files."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files: int = 1, parts: int = 3) -> DataFrame:
+    """One of the given tables as a stream of its files, ``files`` a micro-batch; a table of one file is first dealt over ``parts``."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-    return r.parquet(path) if os.path.isdir(path) else r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    table = spark.read.parquet(path)
+    if len(table.inputFiles()) == 1:
+        path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        table.repartition(parts).write.parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(stream: DataFrame, each, checkpoint: str) -> None:
