@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 
 def cascade(left: DataFrame, right: DataFrame, ident: str, other: str, strategies: list[tuple[str, Column, Column]]) -> DataFrame:
     """(ident, other, strategy): for each left row the first strategy whose keys meet, and its smallest match.
@@ -95,25 +101,115 @@ def confirmed(title: Column, authors: Column, text: Column) -> Column:
     return F.coalesce(_once(parts, lambda s: _in_body(s) & ((s["n"] >= 6) | named(s))), F.lit(False))
 
 
+def _shared(left: list, right: list) -> np.ndarray:
+    """[i, j]: how many words the sets left[i] and right[j] have in common. Frequent words are counted by one matrix product."""
+    n, m = len(left), len(right)
+    own: dict[str, list[int]] = {}
+    for i, ws in enumerate(left):
+        for w in ws:
+            own.setdefault(w, []).append(i)
+    met: dict[str, list[int]] = {}
+    for j, ws in enumerate(right):
+        for w in ws:
+            if w in own:
+                met.setdefault(w, []).append(j)
+    out, often = np.zeros((n, m), "i2"), []
+    for w, js in met.items():
+        if 32 * len(own[w]) * len(js) > n * m:
+            often.append(w)
+        else:
+            out[np.ix_(own[w], js)] += 1
+    if often:
+        x, y = np.zeros((n, len(often)), "f4"), np.zeros((m, len(often)), "f4")
+        for k, w in enumerate(often):
+            x[own[w], k] = 1
+            y[met[w], k] = 1
+        out += (x @ y.T).astype("i2")
+    return out
+
+
+def shared_words(left: DataFrame, right: DataFrame, least: float = 0.0, block: int = 1024) -> DataFrame:
+    """(a, b, shared, most): pairs of rows under one key with the number of words they share and the size of the larger set.
+
+    ``left`` and ``right``: key, id (BIGINT or string), text, words (a set in an
+    order that is one for all rows), pos. A pair comes out where the texts
+    differ (NULL differs from all), a word at least and ``least`` of the larger
+    set is shared, and none of them stands before the first ``pos`` of both
+    words: so of several keys that a pair has in common only the first gives it.
+    Rows of a key are cut into blocks by their id and every block of one side
+    meets every block of the other in a group of its own, so a frequent key is
+    spread over tasks; a group's words are counted in numpy at once.
+    """
+    kinds = [df.schema["id"].dataType.simpleString() for df in (left, right)]
+    size = lambda df, c: df.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias(c))
+    parts = size(left, "l").join(size(right, "r"), "key")
+
+    def side(df: DataFrame, n: int, own: str, other: str) -> DataFrame:
+        mine, theirs = F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        df = df.join(parts, "key").withColumn("mine", mine).withColumn("theirs", theirs)
+        i, j = ("mine", "theirs") if n == 0 else ("theirs", "mine")
+        null = lambda k: F.lit(None).cast(kinds[k])
+        return df.select(F.xxhash64("key", i, j).alias("g"), "key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(n).alias("side"), (F.col("id") if n == 0 else null(0)).alias("a"), (F.col("id") if n else null(1)).alias("b"), "text", "words", "pos")
+
+    def meet(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held = None, None
+
+        def found():
+            (xs, ys), out = held, pd.DataFrame(columns=["a", "b", "shared", "most"])
+            if xs and ys:
+                n = _shared([x[2] for x in xs], [y[2] for y in ys])
+                most = np.maximum.outer([len(x[2]) for x in xs], [len(y[2]) for y in ys])
+                good = (n > 0) & (n >= least * most - 1e-9)
+                if good.any() and xs[0][3] is not None:
+                    good &= _shared([x[2][: x[3]] for x in xs], [y[2][: y[3]] for y in ys]) == 0
+                if good.any():
+                    good &= _shared([[x[1]] if x[1] is not None else [] for x in xs], [[y[1]] if y[1] is not None else [] for y in ys]) == 0
+                r, c = np.nonzero(good)
+                ids = [np.array([x[0] for x in v], object if k == "string" else "i8") for v, k in zip((xs, ys), kinds)]
+                out = pd.DataFrame({"a": ids[0][r], "b": ids[1][c], "shared": n[r, c].astype("i4"), "most": most[r, c].astype("i4")})
+            return out
+
+        for p in it:
+            rows = zip(*(p[c].tolist() for c in ("key", "i", "j", "side", "a", "b", "text", "words", "pos")))
+            done = []
+            for key, i, j, n, a, b, text, words, pos in rows:
+                if (key, i, j) != group:
+                    if held is not None and held[0] and held[1]:
+                        one = found()
+                        if len(one) > 100_000:
+                            yield one
+                        elif len(one):
+                            done.append(one)
+                    group, held = (key, i, j), ([], [])
+                held[n].append((b if n else a, text, list(words), None if pd.isna(pos) else int(pos)))
+            if done:
+                yield pd.concat(done)
+        if held is not None:
+            yield found()
+
+    both = side(left, 0, "l", "r").unionByName(side(right, 1, "r", "l"))
+    tasks = 4 * left.sparkSession.sparkContext.defaultParallelism  # a stated number: few bytes, much to compare
+    return both.repartition(tasks, "g").sortWithinPartitions("g", "key", "i", "j").mapInPandas(meet, f"a {kinds[0]}, b {kinds[1]}, shared int, most int")
+
+
 def similar_sets(left: DataFrame, right: DataFrame, ident: str, other: str, words: str, least: float) -> DataFrame:
     """(ident, other, overlap): rows whose word sets share at least ``least`` of the larger set.
 
     Prefix filter: in an order of words from rare to common, two such sets have
     a word in common among the first n - ceil(least * n) + 1 of each, so only
-    rows that share one of these meet. Empty and NULL sets are like nothing.
+    rows that share one of these meet, and a pair counts under the first that
+    they share. Empty and NULL sets are like nothing.
     """
-    side = lambda df, i, n: df.select(F.lit(n).alias("side"), F.col(i).cast("string").alias("i"), F.array_distinct(words).alias("ws")).where(F.size("ws") > 0)
-    both = side(left, ident, 0).unionByName(side(right, other, 1))
+    side = lambda df, i, n: df.select(F.lit(n).alias("side"), F.col(i).cast("string").alias("id"), F.array_distinct(words).alias("ws")).where(F.size("ws") > 0)
+    both = side(left, ident, 0).unionByName(side(right, other, 1)).distinct()
     df = both.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    told = both.select("side", "i", F.explode("ws").alias("w")).join(df, "w").groupBy("side", "i").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    need = F.size("ws") - F.ceil(F.size("ws") * least - 1e-9) + 1
-    first = told.select("side", "i", F.transform("ws", lambda x: x["w"]).alias("ws"), F.explode(F.slice("ws", 1, need.cast("int"))).alias("k")).select("side", "i", "ws", "k.w")
-    a = first.where("side = 0").select(F.col("i").alias("a"), F.col("ws").alias("x"), "w")
-    b = first.where("side = 1").select(F.col("i").alias("b"), F.col("ws").alias("y"), "w")
-    share = F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))
-    hit = a.join(b, "w").select("a", "b", share.alias("overlap")).where(F.col("overlap") >= least - 1e-12).distinct()
+    told = both.select("side", "id", F.explode("ws").alias("w")).join(df, "w").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    told = stash(told.select("side", "id", F.transform("ws", lambda x: x["w"]).alias("words")))
+    need = F.size("words") - F.ceil(F.size("words") * least - 1e-9) + 1
+    first = lambda n: told.where(F.col("side") == n).select("id", F.lit(None).cast("string").alias("text"), "words", F.posexplode(F.slice("words", 1, need.cast("int"))).alias("pos", "key"))
+    hit = shared_words(first(0), first(1), least)
     kind = lambda df, i: df.schema[i].dataType
-    return hit.select(F.col("a").cast(kind(left, ident)).alias(ident), F.col("b").cast(kind(right, other)).alias(other), "overlap")
+    return hit.select(F.col("a").cast(kind(left, ident)).alias(ident), F.col("b").cast(kind(right, other)).alias(other), (F.col("shared") / F.col("most")).alias("overlap"))
 
 
 def place_in_group(df: DataFrame, group: str, ident: str, width: int = 100_000) -> DataFrame:

@@ -282,3 +282,33 @@ def test_find_documents(spark):
     asks = ["#AA00BB", "lib://v/sub/two.md", "sub/two.md", "two.md", "wo.md", "top.md", "", "c0ffee"]
     got = T.find_documents(spark.createDataFrame(list(enumerate(asks)), "ask int, name string"), docs, "ask", "name", "id")
     assert rows(got, "ask", "id", "how") == [(0, 1, "docid"), (1, 2, "path"), (2, 2, "suffix"), (3, 2, "suffix"), (4, None, "not found"), (5, 4, "path"), (6, None, "not found"), (7, 4, "docid")]
+
+
+def test_shared_words_do_not_depend_on_blocks(spark):
+    """Pairs of a frequent key are counted in blocks of any size; equal texts and pairs without a shared word are left out."""
+    from florilege.operators import matching as M
+
+    def side(step):
+        data = [("hot" if i % 5 else f"k{i}", i, f"t{i * step}", sorted({f"w{i % 3}", f"w{i * step % 7}", f"v{i % 2}"}), None) for i in range(60)]
+        return spark.createDataFrame(data, "key string, id long, text string, words array<string>, pos int")
+
+    a, b = side(1), side(2)
+    want = {(x["id"], y["id"], len(set(x["words"]) & set(y["words"]))) for x in a.collect() for y in b.collect() if x["key"] == y["key"] and x["text"] != y["text"] and set(x["words"]) & set(y["words"])}
+    for block in (1024, 7):
+        got = [(r["a"], r["b"], r["shared"]) for r in M.shared_words(a, b, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_similar_sets_of_frequent_words(spark):
+    """Brute force on sets whose rare words are shared by many; every pair once."""
+    import random
+
+    from florilege.operators import matching as M
+
+    r = random.Random(3)
+    make = lambda: [(i, r.sample([f"w{j}" for j in range(12)], r.randint(0, 6))) for i in range(80)]
+    x, y = make(), make()
+    a, b = spark.createDataFrame(x, "i long, ws array<string>"), spark.createDataFrame(y, "j long, ws array<string>")
+    got = [(g["i"], g["j"], round(g["overlap"], 6)) for g in M.similar_sets(a, b, "i", "j", "ws", 0.6).collect()]
+    want = {(i, j, round(len(set(u) & set(v)) / max(len(u), len(v)), 6)) for i, u in x for j, v in y if u and v and len(set(u) & set(v)) >= 0.6 * max(len(u), len(v)) - 1e-9}
+    assert len(got) == len(want) and set(got) == want
