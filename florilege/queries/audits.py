@@ -281,11 +281,9 @@ def related_labels(spark: SparkSession, d: str) -> DataFrame:
 def query_variants(spark: SparkSession, d: str) -> DataFrame:
     """Titles of the export as variants of library titles with the same start: equal ones and those without a shared word are dropped."""
     start = F.substring(X.bare_title("title"), 1, 12)
-    q = table(spark, d, "papers").where(F.length("title") > 20).select("id", F.trim(F.lower("title")).alias("q"), start.alias("k"))
-    v = table(spark, d, "endnote_records").where(F.length("title") > 20).select("rec_no", F.trim(F.lower("title")).alias("v"), start.alias("k"))
-    j = q.join(v, "k").where("q <> v")
-    shared = F.size(F.array_intersect(T.tokens("q"), T.tokens("v")))
-    return j.where(shared > 0).select("id", "rec_no", shared.alias("shared"))
+    text = F.trim(F.lower("title"))
+    side = lambda t, i: table(spark, d, t).where(F.length("title") > 20).select(start.alias("key"), F.col(i).alias("id"), text.alias("text"), F.array_distinct(T.tokens(text)).alias("words"), F.lit(None).cast("int").alias("pos"))
+    return M.shared_words(side("papers", "id"), side("endnote_records", "rec_no")).select(F.col("a").alias("id"), F.col("b").alias("rec_no"), "shared")
 
 
 QUERIES = {f.__name__: f for f in (
