@@ -197,6 +197,14 @@ def test_misspelt_surnames():
     assert not two("Rebecca Dabolemar", "Rebecca Dablemmar", 99, 10) and not two("R Dabolemar", "Dablemmar RH", 400, 1)
 
 
+def test_parts_of_surnames_two_errors_apart(spark):
+    """Parts are looked at even where the whole surnames are two letters apart."""
+    assert V.same_surname(("de", "santos"), ("santos",)) == 1 and V.same_surname(("smith", "jones"), ("smyth", "jonas")) == 2
+    assert V.same_surname(("dabolemar",), ("dablemmar",)) == -2 and V.same_surname(("dabolemar",), ("dabrummer",)) == 0
+    df = spark.createDataFrame([("person", n) for n in ("de Santos, Rebecca", "Santos R", "Smith-Jones R", "Smyth-Jonas, Rebecca", "Santer R")], "kind string, name string")
+    assert {tuple(r)[1:] for r in V.name_variants(df).collect()} == {("Santos R", "de Santos, Rebecca"), ("Smith-Jones R", "Smyth-Jonas, Rebecca")}
+
+
 def test_links_do_not_depend_on_the_table(spark):
     """However often two spellings occur, they are linked as in a table of the two."""
     two = ["Rebecca Dabolemar", "Rebecca Dabolemmar"]
