@@ -312,3 +312,15 @@ def test_similar_sets_of_frequent_words(spark):
     got = [(g["i"], g["j"], round(g["overlap"], 6)) for g in M.similar_sets(a, b, "i", "j", "ws", 0.6).collect()]
     want = {(i, j, round(len(set(u) & set(v)) / max(len(u), len(v)), 6)) for i, u in x for j, v in y if u and v and len(set(u) & set(v)) >= 0.6 * max(len(u), len(v)) - 1e-9}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_betweenness_in_arrays_equals_joins(spark):
+    """Both forms give the same on a random graph in several pieces; the array form needs no table of sources times nodes."""
+    import random
+
+    r = random.Random(1)
+    e = {tuple(sorted(r.sample(range(40), 2))) for _ in range(60)} | {(100, 101), (101, 102)}
+    df = spark.createDataFrame([(f"n{a}", f"n{b}", 1.0) for a, b in e], "a string, b string, weight double")
+    src = spark.createDataFrame([(f"n{i}",) for i in (*range(0, 40, 3), 100, 999)], "node string")
+    one, other = (dict(rows(C.betweenness(df, src, held=h))) for h in (20_000_000, 0))
+    assert one == other and len(one) > 30 and max(one.values()) == 1.0
