@@ -324,3 +324,15 @@ def test_betweenness_in_arrays_equals_joins(spark):
     src = spark.createDataFrame([(f"n{i}",) for i in (*range(0, 40, 3), 100, 999)], "node string")
     one, other = (dict(rows(C.betweenness(df, src, held=h))) for h in (20_000_000, 0))
     assert one == other and len(one) > 30 and max(one.values()) == 1.0
+
+
+def test_runs_of_words_meet(spark):
+    """Titles meet only documents that hold their words in a row, not all that hold the telling one."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"abc1 w{i} x y z".split()) for i in range(200)] + [(500, "q w7 abc1 x".split()), (501, []), (502, ["w7"])], "doc_id long, words array<string>")
+    asked = spark.createDataFrame([(1, "abc1 w7 x".split()), (2, "w7 abc1".split()), (3, ["w7"]), (4, "abc1 x".split())], "id long, run array<string>")
+    for bits in (25, 3):
+        assert {tuple(r) for r in T.meet_runs(docs, asked, "doc_id", "id", bits=bits).collect()} == {(7, 1), (500, 2), (7, 3), (500, 3), (502, 3), (500, 4)}
+    run = lambda i: T.run_around(F.array(*(F.lit(c) for c in "abcde")), F.lit(i), 3)
+    assert [list(r) for r in spark.range(1).select(run(0), run(2), run(4)).collect()[0]] == [list("abc"), list("bcd"), list("cde")]
