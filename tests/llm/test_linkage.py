@@ -130,6 +130,27 @@ def test_assignment_against_permutations():
 PUB = "node long, title string, authors array<string>, journal string, year string, pmid string, doi string"
 
 
+def test_sparse_assignment_at_any_size():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        g = rng.integers(0, 6, size=rng.integers(1, 7, size=2)) * 0.1
+        got = M.sparse_assignment([(10 + a, 20 + b, float(g[a, b])) for a, b in zip(*np.nonzero(g))])
+        assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got)
+        assert sum(g[a - 10, b - 20] for a, b in got) == pytest.approx(sum(g[a, b] for a, b in M.assignment(g)))
+    n = 1500  # a chain in which best pair first loses every other row
+    chain = [(i, i, 1.0) for i in range(n)] + [(i, i + 1, 1.1) for i in range(n - 1)] + [(n - 1, 0, 0.5)]
+    assert sum({(a, b): s for a, b, s in chain}[p] for p in M.sparse_assignment(chain)) == pytest.approx(max(float(n), 1.1 * (n - 1) + 0.5))
+
+
+def test_large_knot_is_assigned_exactly(spark, monkeypatch):
+    """A knot of 1,201 groups a side: best pair first would leave one row of either side alone."""
+    n = 1200
+    pairs = [(2 * i, 2 * i + 1, 6.0) for i in range(n + 1)] + [(2 * i, 2 * i + 3, 6.001) for i in range(n)]
+    monkeypatch.setattr(M, "neighbour_links", lambda rows, window: spark.createDataFrame(pairs, "a long, b long, score double"))
+    a, b = (spark.createDataFrame([(i, f"Title {i}", [], "J", "2020", None, None) for i in range(n + 1)], PUB) for _ in range(2))
+    assert {(r["left_id"], r["right_id"]) for r in M.match_tables(a, b).collect()} == {(i, i) for i in range(n + 1)}
+
+
 def test_match_tables(spark):
     left = [
         (1, T1, ["Doering J", "Roebuck R"], "Annals of Things", "2020", "60000001", None),
