@@ -53,6 +53,31 @@ def test_forest_recall(spark, candidates, block):
     assert all(abs(c / 1e6 - s[a - 1, b - 1]) < 3e-5 and s[a - 1, b - 1] >= 0.7999 for (a, b), c in got.items())
 
 
+def nearest(x, k=5, least=0.8):
+    s = cosines(x)
+    return {(i + 1, int(j) + 1) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:k] if s[i, j] >= least}
+
+
+def test_forest_of_long_prefixes(spark):
+    """So few candidates, as with prefixes in a hundred times the vectors, still lead to the whole lists."""
+    x = clustered(60, 14, 2000)
+    got = {(r["id"], r["nbr"]) for r in V.forest_neighbours(frame(spark, x), trees=5, candidates=10).collect()}
+    want = nearest(x)
+    assert len(want & got) >= 0.98 * len(want) and len(want & got) >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize("small,block", [(4096, 8192), (20, 30), (20, 7)])
+def test_neighbours_in_components(spark, small, block):
+    """A chain of pairs is enough for the exact lists of a component of any size, in blocks or whole."""
+    rng = np.random.default_rng(4)
+    heads = rng.normal(size=(6, 64)) * 3
+    x = np.concatenate([h + rng.normal(size=(n, 64)) for h, n in zip(heads, (90, 41, 30, 12, 3, 2))] + [np.repeat(heads[:1], 4, axis=0)])
+    df, group = frame(spark, x).withColumnRenamed("vec_rowid", "id"), np.r_[np.repeat(range(6), (90, 41, 30, 12, 3, 2)), np.zeros(4, int)]
+    near = [(a + 1, np.array([(b + 1, 0)], V.PAIR).tobytes()) for g in range(6) for a, b in zip(np.flatnonzero(group == g)[:-1].tolist(), np.flatnonzero(group == g)[1:].tolist())]
+    got = {(r["id"], r["nbr"]) for r in V.neighbours_in_components(df, spark.createDataFrame(near, "id long, near binary"), small=small, block=block).collect()}
+    assert got == nearest(V.encode(x)[0].astype("f8")) and len(got) >= 800
+
+
 def test_forest_blocks_do_not_change_the_result(spark):
     """A crowd under one string is cut into parts, and sparse queries beside it still meet all of it."""
     rng = np.random.default_rng(3)
