@@ -706,17 +706,35 @@ def _stars(link: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pd.DataFram
     return pd.DataFrame({"src": a, "dst": a[g]})[a != a[g]]
 
 
+def _balls(x: np.ndarray, least: float, fewest: int = 4, wide: float = 0.94) -> np.ndarray:
+    """For each row the number of its ball, -1 for none: rows that hang together by links and lie within ``wide`` of their mean."""
+    out = np.full(len(x), -1, "<i4")
+    link = np.empty((len(x), len(x)), bool)
+    for i in range(0, len(x), 1024):
+        np.greater_equal(x[i : i + 1024] @ x.T, np.float32(least), out=link[i : i + 1024])
+    some = np.flatnonzero(np.count_nonzero(link, axis=1) >= fewest)
+    g = _groups(link[np.ix_(some, some)])
+    for n, a in enumerate(np.unique(g)):
+        own = some[g == a]
+        mean = x[own].mean(axis=0)
+        own = own[x[own] @ mean >= wide * np.linalg.norm(mean)]
+        if len(own) >= fewest:
+            out[own] = n
+    return out
+
+
 def links_between_cells(vectors: DataFrame, centres: np.ndarray, least: float = 0.8, dims: int = 64, block: int = 16384, part: int = 4096) -> DataFrame:
     """(src, dst): star links whose components are those of all pairs with cosine >= least that do not have one nearest centre.
 
     Every vector lies in one block of about ``block`` vectors of neighbouring
-    cells, and every block meets every block once, part by part. Of two parts
-    only those vectors are compared that the triangle inequality lets reach a cell of the
-    other: their angle to its centre is at most the cell's radius there and the
-    linking angle. So tight cells cost little, but wide ones are compared with
-    everything: exact for any data, at a cost that can grow with the square of
-    the vectors outside tight cells. Blocks are read from the written table by
-    the tasks that pair them, so no copies are shuffled.
+    cells, and every block meets every block once, part by part. Within a part,
+    vectors that are alike form balls. A vector can have a link into a ball only
+    if its angle to the ball's centre is at most the ball's radius and the
+    linking angle, so all vectors are held against the centres of the other
+    part's balls, and against members only where that inequality allows a link.
+    Vectors in no ball are compared with each other: exact for any data, at a
+    cost that grows with the square of the vectors outside balls. Blocks are
+    read from the written table by the tasks that pair them, so no copies are shuffled.
     """
     spark = vectors.sparkSession
     if not len(centres):
@@ -751,41 +769,84 @@ def links_between_cells(vectors: DataFrame, centres: np.ndarray, least: float =
                 yield pd.DataFrame({"b": [i], "ids": [ids[own].tobytes()], "codes": [codes[own].tobytes()], "lots": [g[own].astype("<i4").tobytes()]})
 
     def whole(key, pdf):
-        return pd.DataFrame({"b": [key[0]], **{c: [b"".join(pdf[c])] for c in ("ids", "codes", "lots")}})
+        ids, g = np.frombuffer(b"".join(pdf["ids"]), "<i8"), np.frombuffer(b"".join(pdf["lots"]), "<i4")
+        codes = _matrix(pdf["codes"], dims)
+        o = np.lexsort((ids, g))
+        ball = np.full(len(o), -1, "<i4")
+        for i in range(0, len(o), part):
+            own = o[i : i + part]
+            n = _balls(unit(codes[own]), least)
+            at = np.argsort(n, kind="stable")
+            o[i : i + part], ball[i : i + part] = own[at], n[at]
+        return pd.DataFrame({"b": [key[0]], "ids": [ids[o].tobytes()], "codes": [codes[o].tobytes()], "lots": [g[o].tobytes()], "balls": [ball.tobytes()]})
 
     kind = "b long, ids binary, codes binary, lots binary"
-    blocks = stash(vectors.mapInPandas(deal, kind).groupBy("b").applyInPandas(whole, kind).repartition(spark.sparkContext.defaultParallelism * 2, "b"))
+    blocks = vectors.mapInPandas(deal, kind).groupBy("b").applyInPandas(whole, kind + ", balls binary")
+    blocks = stash(blocks.repartition(spark.sparkContext.defaultParallelism * 2, "b"))
 
-    def read(ids, codes, lots):
-        """A block as its tasks need it, in parts of neighbouring cells: ids, vectors, cells, and for each cell its centre and what a vector's product with it must reach to have a link there."""
-        ids, g = np.frombuffer(ids, "<i8"), np.frombuffer(lots, "<i4")
-        o = np.argsort(g, kind="stable")
-        ids, x, g = ids[o], unit(_matrix([codes], dims)[o]), g[o]
+    def read(ids, codes, lots, balls):
+        """The parts of a block as its tasks need them: ids, vectors, cells, where each ball starts (what comes before is in none), the centres, and what a vector's product with each must reach to have a link there."""
+        ids, x, g, ball = np.frombuffer(ids, "<i8"), unit(_matrix([codes], dims)), np.frombuffer(lots, "<i4"), np.frombuffer(balls, "<i4")
         out = []
         for i in range(0, len(ids), part):
-            y = x[i : i + part]
-            c, at = np.unique(g[i : i + part], return_inverse=True)
-            own = held.value[c % len(centres)]
-            radius = np.zeros(len(c))
-            np.maximum.at(radius, at, np.arccos(np.clip(np.einsum("ij,ij->i", y, own[at]), -1, 1)))
-            far = np.where(radius + angle < math.pi, np.cos(np.minimum(radius + angle, math.pi)), -2).astype("f4")
-            out.append((ids[i : i + part], y, set((c % len(centres)).tolist()), own.T, far))
+            y, n = x[i : i + part], ball[i : i + part]
+            start = np.flatnonzero((n >= 0) & np.r_[True, n[1:] != n[:-1]])
+            own, far = np.zeros((0, dims), "f4"), np.zeros(0, "f4")
+            if len(start):
+                own = np.add.reduceat(y.astype("f8"), start, axis=0)
+                own = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)).astype("f4")
+                cos = np.einsum("ij,ij->i", y[start[0] :], np.repeat(own, np.diff(np.r_[start, len(y)]), axis=0))
+                reach = np.arccos(np.clip(np.minimum.reduceat(cos, start - start[0]), -1, 1)) + angle
+                far = np.where(reach < math.pi, np.cos(np.minimum(reach, math.pi)), -2).astype("f4")
+            out.append((ids[i : i + part], y, set((g[i : i + part] % len(centres)).tolist()), np.r_[start, len(y)], own.T, far))
         return out
 
+    reached = np.float32(least - 5e-7)
+
+    def linked(x, y, tile=1024):
+        """Row and column of the products that reach ``least``."""
+        rows, cols = [], []
+        for i in range(0, len(x), tile):
+            s = x[i : i + tile] @ y.T
+            near = np.flatnonzero(s.max(axis=1, initial=-2) >= reached)
+            r, c = np.nonzero(s[near] >= reached)
+            rows.append(near[r] + i)
+            cols.append(c)
+        return np.concatenate(rows or [np.zeros(0, "i8")]), np.concatenate(cols or [np.zeros(0, "i8")])
+
+    def into(x, y, start, centre, far, most):
+        """Row of x and row of y of the links into balls of y; None where the inequality excludes too little."""
+        r, q = np.nonzero(x @ centre >= far)
+        n = np.diff(start)[q]
+        if n.sum() > most:
+            return None
+        r = np.repeat(r, n)
+        c = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[q], n)
+        good = np.einsum("ij,ij->i", x[r], y[c]) >= reached
+        return r[good], c[good]
+
     def compare(first, second, one):
-        (a, x, cells, cx, fx), (b, y, other, cy, fy) = first, second
+        (a, x, cells, sx, cx, fx), (b, y, other, sy, cy, fy) = first, second
         if len(cells | other) == 1:
             return  # one cell
-        if not one:
-            u, v = (x @ cy >= fy).any(axis=1), (y @ cx >= fx).any(axis=1)
-            a, x, b, y = a[u], x[u], b[v], y[v]
-        if not len(a) or not len(b):
+        if one:
+            link = np.empty((len(a), len(a)), bool)
+            for i in range(0, len(a), 1024):
+                np.greater_equal(x[i : i + 1024] @ x.T, reached, out=link[i : i + 1024])
+            yield _stars(link, a, None)
             return
-        link = np.empty((len(a), len(b)), bool)
-        for i in range(0, len(a), 1024):
-            np.greater_equal(x[i : i + 1024] @ y.T, np.float32(least - 5e-7), out=link[i : i + 1024])
-        if link.any():
-            yield _stars(link, a, None if one else b)
+        most = len(a) * len(b) // 128
+        there = into(x, y, sy, cy, fy, most)
+        back = into(y[: sy[0]], x, sx, cx, fx, most)
+        if there is None or back is None:
+            r, c = linked(x, y)
+        else:
+            r, c = (np.concatenate(v) for v in zip(there, back[::-1], linked(x[: sx[0]], y[: sy[0]])))
+        if len(r):
+            r, c = np.unique(r, return_inverse=True), np.unique(c, return_inverse=True)
+            link = np.zeros((len(r[0]), len(c[0])), bool)
+            link[r[1], c[1]] = True
+            yield _stars(link, a[r[0]], b[c[0]])
 
     def meet(it):
         kept = {}  # blocks read last; each takes part in many pairs
@@ -799,13 +860,13 @@ def links_between_cells(vectors: DataFrame, centres: np.ndarray, least: float =
 
         for pdf in it:
             for r in pdf.itertuples(index=False):
-                one, other = parts_of(r.b, r.ids, r.codes, r.lots), parts_of(r.b2, r.ids2, r.codes2, r.lots2)
+                one, other = parts_of(r.b, r.ids, r.codes, r.lots, r.balls), parts_of(r.b2, r.ids2, r.codes2, r.lots2, r.balls2)
                 for i, first in enumerate(one):
                     for j, second in enumerate(other):
                         if r.b != r.b2 or i <= j:
                             yield from compare(first, second, r.b == r.b2 and i == j)
 
-    pairs = blocks.crossJoin(blocks.toDF("b2", "ids2", "codes2", "lots2")).where("b <= b2")  # blocks, not rows
+    pairs = blocks.crossJoin(blocks.toDF("b2", "ids2", "codes2", "lots2", "balls2")).where("b <= b2")  # blocks, not rows
     return pairs.mapInPandas(meet, "src long, dst long").where("src <> dst").distinct()
 
 

@@ -149,6 +149,27 @@ def test_clusters_far_from_centres(spark):
     assert got == components(cosines(x), 0.8, 2)
 
 
+def test_links_between_balls(spark):
+    """Groups that cells cut through are compared as balls; links of single vectors into a ball, and between balls, are all found."""
+    rng = np.random.default_rng(12)
+    heads = rng.normal(size=(40, 64))
+    heads /= np.linalg.norm(heads, axis=1, keepdims=True)
+    near = np.repeat(heads, 25, axis=0) + rng.normal(size=(1000, 64)) * 0.033
+    edge = 0.82 * heads + 0.57 * np.roll(heads, 1, axis=0)
+    x = np.concatenate([near, edge, rng.normal(size=(300, 64))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ball = V._balls(u.astype("f4"), 0.8)
+    assert (ball[:1000] >= 0).mean() > 0.9 and (ball[-300:] < 0).all()
+    assert all((u[ball == b] @ u[ball == b].mean(axis=0)).min() > 0.9 * np.linalg.norm(u[ball == b].mean(axis=0)) for b in set(ball[ball >= 0].tolist()))
+    df = frame(spark, x)
+    centres = V.unit(rng.normal(size=(30, 64)))  # fit nothing
+    got = {}
+    for block, part in ((16384, 4096), (400, 100)):
+        links = V.similarity_links(df, centres, cells=1).unionByName(V.links_between_cells(df, centres, block=block, part=part))
+        got[part] = {(r["component"], r["node"]) for r in V.connected_components(links).collect()}
+    assert got[4096] == got[100] == components(cosines(x), 0.8, 2)
+
+
 def test_links_in_blocks_equal_links_at_once(spark):
     x = np.concatenate([clustered(3, 60, 40), clustered(1, 4, 1)])
     df = frame(spark, x)
